@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import clean, clean_sql
 from ..operators.dedup import latest_per_key
 from ..session import read_table
+from .contamination import leaked_items
 from .cooccurrence import cooccurrence, distinct_items
+from .mixing import TOKENIZER_PATH, mix, token_counts
 from .term_frequency import term_frequency
 
 
@@ -79,3 +81,38 @@ ORACLES = {
     "p2_found": _TERMS + " select field_name, term, mark from m where mark is not null",
     "p2_term_frequency": _TERMS + " select * from m",
 }
+
+
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaked_items(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items")).distinct()
+
+
+def _mixed(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    path = spark.conf.get("duskveil.tokenizer.path", TOKENIZER_PATH)
+    tokens = token_counts(read_table(spark, sf_dir, "documents"), "doc_id", clean(F.col("source")), path)
+    targets = read_table(spark, sf_dir, "mix_targets").withColumn("source", clean(F.col("source")))
+    return mix(tokens, targets, "doc_id")
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir)[1].where("not reachable").select("source")
+
+
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p8: target and actual share of every source."""
+    return _mixed(spark, sf_dir)[1]
+
+
+def p8_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p8: how often each text is used."""
+    return _mixed(spark, sf_dir)[0]
+
+
+QUERIES |= {"p7_found": p7_found, "p8_found": p8_found, "p8_shares": p8_shares, "p8_copies": p8_copies}
+
+# Characters stand for tokens here: what a source can reach is decided by ratios far from the edge.
+ORACLES["p8_found"] = f"""
+with d as (select {clean_sql('source')} as source, sum(length(text)) as t from documents group by 1),
+m as (select {clean_sql('source')} as source, target_share, max_repeats from mix_targets),
+j as (select m.*, coalesce(d.t, 0) as t from m left join d using (source))
+select source from j where t * max_repeats < target_share * (select sum(t) from j)"""
