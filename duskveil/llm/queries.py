@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.cleaning import clean, clean_sql
 from ..operators.dedup import latest_per_key
 from ..session import read_table
+from .abuse import fit, rates, score_documents
 from .contamination import leaked_items
 from .cooccurrence import cooccurrence, distinct_items
 from .mixing import TOKENIZER_PATH, mix, token_counts
@@ -116,3 +117,26 @@ with d as (select {clean_sql('source')} as source, sum(length(text)) as t from d
 m as (select {clean_sql('source')} as source, target_share, max_repeats from mix_targets),
 j as (select m.*, coalesce(d.t, 0) as t from m left join d using (source))
 select source from j where t * max_repeats < target_share * (select sum(t) from j)"""
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = fit(read_table(spark, sf_dir, "abuse_labels"))
+    documents = read_table(spark, sf_dir, "documents").withColumn("source", clean(F.col("source")))
+    return score_documents(documents, model, "doc_id", ["source"])
+
+
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored(spark, sf_dir).where("affected").select("doc_id").distinct()
+
+
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p9: a score for every document."""
+    return _scored(spark, sf_dir)
+
+
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p9: rate of affected documents in every source."""
+    return rates(_scored(spark, sf_dir), "source")
+
+
+QUERIES |= {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
