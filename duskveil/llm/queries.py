@@ -11,6 +11,7 @@ from ..session import read_table
 from .abuse import fit, rates, score_documents
 from .contamination import leaked_items
 from .cooccurrence import cooccurrence, distinct_items
+from .credentials import DICTIONARY_PATH, find_credentials, redact_credentials
 from .mixing import TOKENIZER_PATH, mix, token_counts
 from .term_frequency import term_frequency
 
@@ -140,3 +141,23 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p9_found": p9_found, "p9_scores": p9_scores, "p9_rates": p9_rates}
+
+
+def _allowed_examples(spark: SparkSession, sf_dir: str) -> tuple[str, ...]:
+    """Allowed examples of the rules, a fixed small table."""
+    rows = read_table(spark, sf_dir, "rules").select(F.explode("allowed_examples").alias("x")).where("x is not null").distinct().collect()
+    return tuple(sorted({r["x"] for r in rows} | {r["x"].removeprefix("Bearer ") for r in rows}))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = spark.conf.get("duskveil.dictionary.path", DICTIONARY_PATH)
+    return find_credentials(read_table(spark, sf_dir, "messages"), "message_id", "content", _allowed_examples(spark, sf_dir), path).distinct()
+
+
+def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p6: the messages with every credential replaced."""
+    path = spark.conf.get("duskveil.dictionary.path", DICTIONARY_PATH)
+    return redact_credentials(read_table(spark, sf_dir, "messages"), "content", _allowed_examples(spark, sf_dir), path)
+
+
+QUERIES |= {"p6_found": p6_found, "p6_redacted": p6_redacted}
