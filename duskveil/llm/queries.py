@@ -13,6 +13,7 @@ from .contamination import leaked_items
 from .cooccurrence import cooccurrence, distinct_items
 from .credentials import DICTIONARY_PATH, find_credentials, redact_credentials
 from .mixing import TOKENIZER_PATH, mix, token_counts
+from .personal import find_personal, redact_personal
 from .term_frequency import term_frequency
 
 
@@ -161,3 +162,20 @@ def p6_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"p6_found": p6_found, "p6_redacted": p6_redacted}
+
+
+def _personal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = spark.conf.get("duskveil.dictionary.path", DICTIONARY_PATH)
+    return find_personal(read_table(spark, sf_dir, "messages"), "message_id", "content", read_table(spark, sf_dir, "person_names"), _allowed_examples(spark, sf_dir), path)
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _personal(spark, sf_dir).select("message_id", "kind", "found_text").distinct()
+
+
+def p4_redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p4: the messages with typed placeholders for personal information."""
+    return redact_personal(read_table(spark, sf_dir, "messages"), "message_id", "content", _personal(spark, sf_dir))
+
+
+QUERIES |= {"p4_found": p4_found, "p4_redacted": p4_redacted}
