@@ -28,7 +28,8 @@ SALTS = 8
 
 _AT = r"(?:\s?[\[({<]\s?(?:at|@|arroba)\s?[\])}>]\s?|&#64;|%40|＠)"
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|punkt|punto|point)\s?[\])}]\s?|\sdot\s)"
-_MAIL = re.compile(r"[\w%+][\w.%+\-]*@[^\W_](?:[\w\-]*[^\W_])?(?:\.[^\W_](?:[\w\-]*[^\W_])?)*\.[^\W\d_]{2,}")
+_MAIL_LOCAL = re.compile(r"[\w%+][\w.%+\-]*\Z")
+_MAIL_DOMAIN = re.compile(r"@[^\W_](?:[\w\-]*[^\W_])?(?:\.[^\W_](?:[\w\-]*[^\W_])?)*\.[^\W\d_]{2,}")
 _MAIL_HIDDEN = re.compile(rf"(?i)[\w%+\-]+(?:(?:{_DOT})[\w%+\-]+)*{_AT}[\w\-]+(?:{_DOT}[\w\-]+)+")
 _MAIL_SPELT = re.compile(r"(?i)(?<![\w.])[\w%+\-]+(?:(?:\.| dot )[\w%+\-]+)*(?: at | @ )[\w\-]+(?:(?: dot | \. )[\w\-]+)+(?![\w\-]| at | @ )")
 _GAP = r" ()/.\-\u00a0\u2007\u2009\u202f"
@@ -49,6 +50,12 @@ _ADDRESS = [
 ]
 #: Any capitalised words with a number: only a good context makes these an address.
 _ADDRESS_ANY = [re.compile(rf"(?<![\w.\-:])\d{{1,4}} (?:[{_UP}][{_LOW}'’\-]+)(?: [{_UP}][{_LOW}'’\-]+){{0,3}}(?! ?[:=(])"), re.compile(rf"(?<![\w.\-])[{_UP}][{_LOW}'’\-]{{3,}}(?: (?:de|del|der|la|{_SMALL}))*(?: [{_UP}][{_LOW}'’\-]+){{0,3}} \d{{1,4}}(?![\w.:\-])")]
+#: Cheap looks for the places where a candidate may begin; they start with a character class, which the search skips to.
+_DIGIT_START = re.compile(r"[0-9](?<![\w.\-:].)[0-9]{0,3}(?![0-9])")
+_PHONE_START = re.compile(r"[+(0-9](?<![\w.+/\-].)")
+_ID_START = re.compile(r"[A-Z0-9](?<![\w+/.\-].)(?=[A-Z]{0,2}[ \-]?\d)")
+_NAME_START = re.compile(rf"[{_UP}](?<![\w@.\-/].)[^\W\d_]+(?:['’\-][^\W\d_]+)*,? (?=[{_UP}a-z])")
+_STREET_END = re.compile(r"(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|ring|damm|steig|graben|chaussee|pfad|markt)\Z")
 _PARTICLE = r"(?:van|von|vom|zu|zum|zur|de|del|della|di|da|do|dos|das|du|der|den|la|le|los|las|ten|ter|bin|ibn|al|el|af|av|mac|mc|y|e|st\.)"
 _PART = rf"[{_UP}][{_LOW}]+(?:['’\-][{_UP}]?[{_LOW}]+)*(?:[{_UP}][{_LOW}]+)?"
 _NAME = re.compile(rf"(?<![\w@.\-/]){_PART}(?: (?:[{_UP}]\.|{_PARTICLE}|{_PART})){{1,6}}(?![\w@/])")
@@ -57,6 +64,7 @@ _CAPS = rf"[{_UP}]{{2,}}(?:['’\-][{_UP}]{{2,}})*"
 _NAME_CAPS = re.compile(rf"(?<![\w@.\-/]){_CAPS}(?: (?:[{_UP}]\.|{_CAPS})){{1,6}}(?![\w@/])")
 _NAME_CAPS_TURNED = re.compile(rf"(?<![\w@.\-/])({_CAPS}(?: {_CAPS}){{0,3}}), ({_CAPS}(?: [{_UP}]\.)?)(?![\w@/])")
 _CONTEXT = re.compile(r"[^\W_]+|[^\w\s]")
+_PARTICLES_BEFORE = re.compile(rf"(?<!\w)((?:(?:{_PARTICLE}) )+)\Z")
 _PARTICLE_WORD = re.compile(rf"(?i){_PARTICLE}\Z")
 
 #: Local parts of machine addresses, and forms of service accounts.
@@ -149,40 +157,73 @@ class Candidates:
         self._mail(text, add, clear)
         digits = re.search(r"\d", text) is not None
         if digits:
-            for pattern in _ADDRESS:
-                for m in pattern.finditer(text):
-                    if clear(*m.span()):
-                        self.streets.append(m.span())
-                        add("address", *m.span(), 1, ["street:" + re.sub(r"\d+", "", m.group(0)).lower().strip(" ,.")])
-            for m in _PHONE.finditer(text):
-                a, z = m.span()
-                n = sum(c.isdigit() for c in m.group(0))
-                if not 9 <= n <= 15 or not clear(a, z) or re.match(r"\d{4}-\d\d-\d\d", m.group(0)):
-                    continue
-                apart = not m.group(0)[1:].isdigit()
-                add("phone", a, z, int(m.group(0)[0] == "+" and apart), ["form:" + re.sub(r"\s", " ", re.sub(r"\d", "0", m.group(0)))])
-            for m in _ID.finditer(text):
-                if clear(*m.span()):
-                    labelled = _LABEL.search(text, max(0, m.start() - 40), m.start()) is not None
-                    add("id_number", *m.span(), int(labelled or known_number(m.group(0))), ["form:" + _shape(m.group(0))])
-        self._names(text, add, clear)
-        if digits:
-            for pattern in _ADDRESS_ANY:
-                for m in pattern.finditer(text):
-                    if clear(*m.span()):
-                        add("address", *m.span(), 0, ["street:" + re.sub(r"\d+", "", m.group(0)).lower().strip(" ,.")])
+            starts = [m.span() for m in _DIGIT_START.finditer(text)]
+            for pattern, generic in ((_ADDRESS, False), (_ADDRESS_ANY, True)):
+                if generic:
+                    self._numbers(text, add, clear)
+                    self._names(text, add, clear)
+                for a, z in starts:
+                    for m in self._addresses(text, a, z, pattern):
+                        if clear(*m.span()):
+                            if not generic:
+                                self.streets.append(m.span())
+                            add("address", *m.span(), int(not generic), ["street:" + re.sub(r"\d+", "", m.group(0)).lower().strip(" ,.")])
+        else:
+            self._names(text, add, clear)
         return out
 
+    @staticmethod
+    def _addresses(text: str, a: int, z: int, patterns: list[re.Pattern]) -> Iterator[re.Match]:
+        """Addresses that begin or end with the number at a..z. Patterns: the first ones begin with it, the rest end with it."""
+        if z < len(text) and text[z] in " ,abcdefghABCDEFGHbt":
+            for pattern in patterns[: len(patterns) // 2]:
+                if m := pattern.match(text, a):
+                    yield m
+        if a > 2 and text[a - 1] in " º°.":
+            word = text[text.rfind(" ", 0, a - 1) + 1 : a - 1]
+            if word[:1].isupper() or word[-1:] in ".,º°" or _STREET_END.search(word) or "/" in word:
+                for pattern in patterns[len(patterns) // 2 :]:
+                    for m in pattern.finditer(text, max(text.rfind("\n", 0, a) + 1, a - 70), min(len(text), z + 4)):
+                        if m.start() < a < m.end():
+                            yield m
+
+    @staticmethod
+    def _numbers(text: str, add, clear) -> None:
+        reached = 0
+        for start in _PHONE_START.finditer(text):
+            if start.start() < reached or not (m := _PHONE.match(text, start.start())):
+                continue
+            a, z = m.span()
+            reached = z
+            n = sum(c.isdigit() for c in m.group(0))
+            if not 9 <= n <= 15 or not clear(a, z) or re.match(r"\d{4}-\d\d-\d\d", m.group(0)):
+                continue
+            apart = not m.group(0)[1:].isdigit()
+            add("phone", a, z, int(m.group(0)[0] == "+" and apart), ["form:" + re.sub(r"\s", " ", re.sub(r"\d", "0", m.group(0)))])
+        reached = 0
+        for start in _ID_START.finditer(text):
+            if start.start() < reached or not (m := _ID.match(text, start.start())):
+                continue
+            reached = m.end()
+            if clear(*m.span()):
+                labelled = _LABEL.search(text, max(0, m.start() - 40), m.start()) is not None
+                add("id_number", *m.span(), int(labelled or known_number(m.group(0))), ["form:" + _shape(m.group(0))])
+
     def _mail(self, text: str, add, clear) -> None:
         if "@" in text:
-            for m in _MAIL.finditer(text):
-                a, z = m.span()
+            reached = 0
+            for d in _MAIL_DOMAIN.finditer(text):
+                m = _MAIL_LOCAL.search(text, max(reached, d.start() - 128), d.start())
+                if not m:
+                    continue
+                a, z = m.start(), d.end()
+                reached = z
                 if text[a] in "+%" and a and text[a - 1].isalnum():
                     continue
                 word = text[max(text.rfind(" ", 0, a), text.rfind("\n", 0, a), text.rfind('"', 0, a), text.rfind("'", 0, a)) + 1 : a]
                 credentials = "://" in word or text[a - 1 : a] == "/"
                 repository = bool(re.match(r":[\w~./\-]*[A-Za-z_/]", text[z : z + 12]))
-                local, domain = m.group(0).rsplit("@", 1)
+                local, domain = text[a:z].rsplit("@", 1)
                 machine = bool(_MACHINE.search(local) or _MACHINE_DOMAIN.search(domain))
                 add("email", a, z, -1 if credentials or repository or machine else 1, ["domain:" + domain.lower()])
         lower = text.lower()
@@ -203,10 +244,16 @@ class Candidates:
         add("email", *m.span(), -1 if _MACHINE.search(local) else 0, ["domain:" + domain])
 
     def _names(self, text: str, add, clear) -> None:
-        for pattern, turned in ((_NAME_TURNED, True), (_NAME, False), (_NAME_CAPS_TURNED, True), (_NAME_CAPS, False)):
-            for m in pattern.finditer(text):
+        reached = [0, 0, 0, 0]
+        for start in _NAME_START.finditer(text):
+            for k, (pattern, turned) in enumerate(((_NAME_TURNED, True), (_NAME, False), (_NAME_CAPS_TURNED, True), (_NAME_CAPS, False))):
+                if start.start() < reached[k] or not (m := pattern.match(text, start.start())):
+                    continue
+                reached[k] = m.end()
                 if turned:
-                    self._name(text, m.start(), m.end(), m.group(2).split(" ")[0], m.group(1).split(" ")[-1], add, clear, True)
+                    # Particles before a family name belong to it.
+                    lead = _PARTICLES_BEFORE.search(text, max(0, m.start() - 16), m.start())
+                    self._name(text, lead.start(1) if lead else m.start(), m.end(), m.group(2).split(" ")[0], m.group(1).split(" ")[-1], add, clear, True)
                     continue
                 # A capitalised run may hold words before or after the name: each stretch is a variant.
                 parts = [(p.start() + m.start(), p.end() + m.start(), p.group(0)) for p in re.finditer(r"\S+", m.group(0))]
