@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import activity
+from . import activity, auditing, detection
 
-MODULES = [activity]
+MODULES = [activity, auditing, detection]
 
 
 def queries() -> dict:
@@ -18,4 +18,4 @@ def oracles() -> dict[str, str]:
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return activity.p5_found(spark, sf_dir)
+    return detection.scan_flags(spark, sf_dir)
