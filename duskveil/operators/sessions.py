@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import Stage
@@ -40,18 +40,12 @@ def sessions(events: DataFrame, entity: str, seconds: str, gap: int) -> DataFram
         "session-pointers",
     )
     while True:
-        seen = Observation()
         target = stage.df.select("e", F.col("tile").alias("ptr"), F.col("ptr").alias("next"))
-        moved = (
-            stage.df.join(target, ["e", "ptr"], "left")
-            .select("e", "tile", F.coalesce("next", "ptr").alias("ptr"), F.col("next").isNotNull().alias("moved"))
-            .observe(seen, F.count_if("moved").alias("n"))
-            .select("e", "tile", "ptr")
-        )
+        moved = stage.df.select("e", "tile", "ptr").join(target, ["e", "ptr"], "left").select("e", "tile", F.coalesce("next", "ptr").alias("ptr"), F.col("next").isNotNull().alias("moved"))
         following = Stage(moved, "session-pointers")
         stage.drop()
         stage = following
-        if not seen.get["n"]:
+        if stage.df.where("moved").isEmpty():
             break
     return (
         tiles.join(stage.df, ["e", "tile"], "left")

@@ -53,7 +53,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
 class Stage:
     """A DataFrame written as a table below the shared folder and read back.
 
-    ``drop()`` removes the files; loops call it for rounds nobody reads any more.
+    ``drop()`` removes the files; loops call it for rounds nobody reads any more. What is left goes
+    when the driver ends.
     """
 
     def __init__(self, df: DataFrame, name: str) -> None:
@@ -61,12 +62,17 @@ class Stage:
         self.path = os.path.join(shared_dir(self.spark), f"duskveil-{name}-{uuid.uuid4().hex}")
         schema = df.schema
         df.write.parquet(self.path)
+        self._files().deleteOnExit(self._path())
         self.df = self.spark.read.schema(schema).parquet(self.path)
 
+    def _path(self):
+        return self.spark._jvm.org.apache.hadoop.fs.Path(self.path)
+
+    def _files(self):
+        return self._path().getFileSystem(self.spark._jsc.hadoopConfiguration())
+
     def drop(self) -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+        self._files().delete(self._path(), True)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
