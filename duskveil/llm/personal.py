@@ -394,9 +394,9 @@ PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER
 
 def redact_personal(messages: DataFrame, id_column: str, text_column: str, found: DataFrame) -> DataFrame:
     """The table with every finding replaced by a typed placeholder, the rest of each text unchanged."""
-    spans = found.groupBy(F.col(id_column).alias("__id"), "text_key").agg(F.array_sort(F.collect_list(F.struct("a", "z", "kind"))).alias("__spans"))
+    spans = found.groupBy(F.col(id_column).alias("__id"), F.col("text_key").alias("__text_key")).agg(F.array_sort(F.collect_list(F.struct("a", "z", "kind"))).alias("__spans"))
     base = messages.withColumn("__key", F.xxhash64(text_column))
-    joined = base.join(spans, base[id_column].eqNullSafe(spans["__id"]) & (F.col("__key") == F.col("text_key")), "left").select(*messages.columns, "__spans")
+    joined = base.join(spans, base[id_column].eqNullSafe(spans["__id"]) & (F.col("__key") == F.col("__text_key")), "left").select(*messages.columns, "__spans")
     at = messages.columns.index(text_column)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
