@@ -67,12 +67,10 @@ def iban(col: Column) -> Column:
 
 def shannon_entropy(col: Column) -> Column:
     """Bits for each character; 0 for the empty text, null for null."""
-    chars = F.filter(F.split(col, ""), lambda c: c != "")
-    n = F.size(chars)
-    bits = F.aggregate(
-        F.array_distinct(chars), F.lit(0.0),
-        lambda acc, c: acc - (F.size(F.filter(chars, lambda x: x == c)) / n) * F.log2(F.size(F.filter(chars, lambda x: x == c)) / n),
-    )
+    n = F.length(col)
+    chars = F.array_distinct(F.filter(F.split(col, ""), lambda c: c != ""))
+    shares = F.transform(chars, lambda c: (n - F.length(F.replace(col, c, F.lit("")))) / n)
+    bits = F.aggregate(shares, F.lit(0.0), lambda acc, p: acc - p * F.log2(p))
     return F.when(col.isNull(), None).when(F.length(col) == 0, 0.0).otherwise(bits)
 
 

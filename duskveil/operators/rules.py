@@ -90,12 +90,28 @@ def is_multiline(pattern: str) -> bool:
     return "-----BEGIN" in pattern or "\\n" in pattern
 
 
+_WORD = "[A-Za-z0-9_]"
+_DIGITS = re.compile(r"\\b(?=\[[01]-9\])")
+_AFTER_DIGITS = re.compile(r"(?<=\})\\b")
+#: Parts of which an ASCII pattern may be made so that all its words begin and end with digits.
+_NUMERIC = re.compile(r"(?:\\[b+()]|\[[01]-9\]|\[ (?:\.-)?\]|\{[0-9,]+\}|\(\?:|[()|])*\Z")
+
+
 def _unix_ascii(pattern: str) -> tuple[str, bool]:
-    """Pattern without the ASCII flag, its word boundaries spelt out, and whether it had the flag."""
+    """Pattern without the ASCII flag, its word boundaries spelt out, and whether it had the flag.
+
+    In patterns of digits and separators a boundary before a digit is that no word character comes
+    before, one behind a digit that none follows; others get the general form.
+    """
     if not pattern.startswith("(?-u)"):
         return pattern, False
-    word = "[A-Za-z0-9_]"
-    return pattern[5:].replace(r"\b", f"(?:(?<={word})(?!{word})|(?<!{word})(?={word}))"), True
+    body = pattern[5:]
+    if _NUMERIC.match(body):
+        body = _AFTER_DIGITS.sub(f"(?!{_WORD})", _DIGITS.sub(f"(?<!{_WORD})", body))
+        if all(re.match(r"(?:\(\?:)*(?:\\[+(]|\\b\[[01]-9\]|\[[01]-9\])", part) for part in pattern[5:].split("|")):
+            # All alternatives begin with a digit, a plus or a bracket: one cheap look before they are tried.
+            body = "(?=[0-9+(])" + body
+    return body.replace(r"\b", f"(?:(?<={_WORD})(?!{_WORD})|(?<!{_WORD})(?={_WORD}))"), True
 
 
 def java_pattern(pattern: str) -> str:

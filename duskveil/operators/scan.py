@@ -26,9 +26,17 @@ from .rules import CARD_PATTERN, CARD_VALIDATOR, Rule, check_rules, is_multiline
 SPAN = "array<struct<rule:int,phase:int,start:int,end:int,value:string,line:string>>"
 OPEN, CLOSE = "\u0001", "\u0002"
 MARKS = f"[{OPEN}{CLOSE}]"
-#: Texts that can hold a card number: thirteen digits with at most three characters between two.
-_CARD_GUARD = r"(?:[0-9][ \x{a0}./-]{0,3}){12}[0-9]"
-_ENTROPY_GUARD = "(?iu)" + "|".join(sorted({k.split("_")[-1] if "_" in k else k for k in entropy.KEYWORDS} | {"auth", "connection_string"}))
+#: Texts that can hold a card number: thirteen digits with at most three characters between two; nothing is tried twice.
+_CARD_GUARD = r"[0-9](?:[ \x{a0}./-]{0,3}+[0-9]){12}"
+#: Every entropy keyword holds one of these; the two letters that fold to s and k may stand in one as well.
+_FOLDED = ("\u017f", "\u212a")
+
+
+def _may_have_keyword(text: Column) -> Column:
+    lower = F.lower(text)
+    return reduce(lambda a, b: a | b, [*(F.contains(lower, F.lit(p)) for p in entropy.PARTS), *(F.contains(text, F.lit(p)) for p in _FOLDED)])
+
+
 ENTROPY_RULE = Rule(entropy.FLAG, "secrets", "medium", (), "warn")
 
 
@@ -43,40 +51,50 @@ def required_literal(pattern: str) -> str | None:
     return None
 
 
-def _spans(text: Column, number: int, phase: int, pattern: str, with_line: bool) -> Column:
-    """Spans of one pattern as an array of structs."""
+def _spans(text: Column, number: int, phase: int, pattern: str, keywords: tuple[str, ...], near: Column | None) -> Column:
+    """Spans of one pattern as an array of structs.
+
+    Where the rule asks for context keywords, a text that holds none of them is not searched at all.
+    """
+    with_line = bool(keywords) and near is None
     java = java_pattern(pattern)
     pieces = F.split(F.regexp_replace(text, java, OPEN + "$0" + CLOSE), MARKS, -1)
 
-    def build(p: Column) -> Column:
+    def starts(p: Column) -> Column:
         # Piece 1, 3, 5, ... are matches; the bytes of all pieces before one are its start.
-        start = F.aggregate(
+        return F.aggregate(
             p, F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts")),
             lambda acc, x: F.struct((acc["at"] + F.octet_length(x)).alias("at"), F.array_append(acc["starts"], acc["at"]).alias("starts")),
         )["starts"]
-        some = F.sequence(F.lit(1), F.size(p) - 2, F.lit(2))
+
+    def build(bound: Column) -> Column:
+        p, start = bound["p"], bound["starts"]
+
+        def edge(i: Column, rest: Column, side: int) -> Column:
+            # What of the line lies on one side: mostly in the next piece, else in all of them.
+            piece = F.get(p, i)
+            whole = F.when(F.contains(piece, F.lit("\n")), piece).otherwise(F.array_join(rest, ""))
+            return F.substring_index(whole, "\n", side)
 
         def one(i: Column) -> Column:
-            value = F.get(p, i)
-            begin = F.get(start, i)
-            line = (
-                F.concat(
-                    F.substring_index(F.array_join(F.slice(p, F.lit(1), i), ""), "\n", -1), value,
-                    F.substring_index(F.array_join(F.slice(p, i + 2, F.size(p)), ""), "\n", 1),
-                )
-                if with_line
-                else F.lit(None).cast("string")
-            )
+            value, begin = F.get(p, i), F.get(start, i)
+            line = F.concat(edge(i - 1, F.slice(p, F.lit(1), i), -1), value, edge(i + 1, F.slice(p, i + 2, F.size(p)), 1)) if with_line else F.lit(None).cast("string")
             return F.struct(
                 F.lit(number).alias("rule"), F.lit(phase).alias("phase"), begin.cast("int").alias("start"),
                 (begin + F.octet_length(value)).cast("int").alias("end"), value.alias("value"), line.alias("line"),
             )
 
-        return F.transform(some, one)
+        return F.transform(F.sequence(F.lit(1), F.size(p) - 2, F.lit(2)), one)
 
-    built = F.get(F.transform(F.array(pieces), build), F.lit(0))
+    # One-element arrays bind the pieces and their starts: a lambda's variable is computed once.
+    paired = F.transform(F.array(pieces), lambda p: F.struct(p.alias("p"), starts(p).alias("starts")))
+    built = F.get(F.transform(paired, build), F.lit(0))
     literal = required_literal(pattern)
     can = F.contains(text, F.lit(literal)) if literal else F.lit(True)
+    if keywords:
+        lower = F.lower(text if near is None else near)
+        folds = [F.contains(text if near is None else near, F.lit(c)) for c in _FOLDED]
+        can = can & reduce(lambda a, b: a | b, [*(F.contains(lower, F.lit(k)) for k in keywords if k), *folds])
     return F.when(can & text.rlike(java), built).otherwise(F.array().cast(SPAN))
 
 
@@ -124,10 +142,13 @@ def _phase(rule: Rule, pattern: str) -> int:
     return 0 if required_literal(pattern) not in (None, "@") else 1
 
 
-def spans_column(text: Column, rules: list[Rule], entropy_threshold: float | None) -> Column:
-    """All spans of a text as one array, before any constraint."""
+def spans_column(text: Column, rules: list[Rule], entropy_threshold: float | None, near: Column | None = None) -> Column:
+    """All spans of a text as one array, before lengths, examples, validators and the exact look at context keywords.
+
+    ``near``: the column that keywords are looked for in, if it is not the match's own lines.
+    """
     cards = next((i for i, r in enumerate(rules) if r.patterns == (CARD_PATTERN,) and CARD_VALIDATOR in r.validators), None)
-    native = [_spans(text, i, _phase(rule, p), p, bool(rule.context_keywords)) for i, rule in enumerate(rules) if i != cards for p in rule.patterns]
+    native = [_spans(text, i, _phase(rule, p), p, rule.context_keywords, near) for i, rule in enumerate(rules) if i != cards for p in rule.patterns]
     entropy_rule = len(rules) if entropy_threshold is not None else None
 
     @F.pandas_udf(SPAN)
@@ -135,12 +156,12 @@ def spans_column(text: Column, rules: list[Rule], entropy_threshold: float | Non
         for texts in chunks:
             yield pd.Series([[] if t is None else python_spans(t, rules, cards, entropy_rule, entropy_threshold or 0.0, OPEN in t or CLOSE in t) for t in texts])
 
-    marked = text.rlike(MARKS)
+    marked = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
     guards = [marked]
     if cards is not None:
         guards.append(text.rlike(_CARD_GUARD))
     if entropy_rule is not None:
-        guards.append(text.rlike(_ENTROPY_GUARD))
+        guards.append(_may_have_keyword(text))
     sent = F.when(reduce(lambda a, b: a | b, guards), text)
     arrays = F.concat(*native) if native else F.array().cast(SPAN)
     return F.concat(F.when(marked, F.array().cast(SPAN)).otherwise(arrays), F.coalesce(sequential(sent), F.array().cast(SPAN)))
@@ -170,7 +191,7 @@ def scan(
     rules = check_rules(rules)
     names = ["rule", "phase", "start", "end", "value", "line"]
     base = df.select(*ids, F.col(text).alias("__text"), *([F.col(context).alias("__context")] if context else []))
-    found = base.select(*ids, *(["__context"] if context else []), F.explode(spans_column(F.col("__text"), rules, entropy_threshold)).alias("__s"))
+    found = base.select(*ids, *(["__context"] if context else []), F.explode(spans_column(F.col("__text"), rules, entropy_threshold, F.col("__context") if context else None)).alias("__s"))
     found = found.select(*ids, *(["__context"] if context else []), *(F.col(f"__s.{n}").alias(n) for n in names))
     value = unicode_trim(F.col("value"))
     keep = F.lit(True)

@@ -77,3 +77,33 @@ class Stage:
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives this package to the Python workers of all executors, once a session.
+
+    The zipped package lies in the shared folder, so nothing need be installed on the executors.
+    """
+    context = spark.sparkContext
+    if getattr(context, "_duskveil_shipped", False):
+        return
+    import io
+    import zipfile
+
+    root = os.path.dirname(os.path.abspath(__file__))
+    packed = io.BytesIO()
+    with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in sorted(os.walk(root)):
+            for name in sorted(files):
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.relpath(full, os.path.dirname(root)))
+    place = os.path.join(shared_dir(spark), f"duskveil-{uuid.uuid4().hex}.zip")
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(path)
+    out.write(packed.getvalue())
+    out.close()
+    files.deleteOnExit(path)
+    context.addPyFile(place)
+    context._duskveil_shipped = True
