@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hmac
 import json
 import re
 from dataclasses import asdict, dataclass, field, replace
@@ -9,6 +10,7 @@ from dataclasses import asdict, dataclass, field, replace
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from ..functions.hashing import DOMAIN_ALLOWLIST
 from ..functions.text import ACTIONS, CATEGORIES, SEVERITIES
 from ..functions.validators import validator
 
@@ -177,6 +179,13 @@ def rules_from_frame(frame: DataFrame) -> list[Rule]:
     return [Rule.parse(r.asDict()) for r in frame.collect()]
 
 
+def fingerprint(entry: str, key: bytes) -> str:
+    """P4 on the driver: an entry as a keyed fingerprint; fingerprints stay as they are, in lower case."""
+    if re.fullmatch(r"hmac:[0-9a-fA-F]{64}", entry):
+        return entry.lower()
+    return "hmac:" + hmac.new(key, DOMAIN_ALLOWLIST.encode() + b"\0" + entry.strip().encode(), "sha256").hexdigest()
+
+
 @dataclass
 class Policy:
     """Overrides and custom rules laid over the base rules."""
@@ -227,6 +236,21 @@ class Policy:
         out.check()
         return out
 
+    def allow(self, entry: str, key: bytes) -> Policy:
+        """With one more allowlist entry; a raw value is kept as its fingerprint only, an entry twice counts once."""
+        out = replace(self, allowlist=list(dict.fromkeys([*self.allowlist, fingerprint(entry, key)])))
+        out.check()
+        return out
+
+    def disallow(self, entry: str, key: bytes) -> Policy:
+        """Without an allowlist entry, given raw or as fingerprint."""
+        gone = fingerprint(entry, key)
+        return replace(self, allowlist=[e for e in self.allowlist if e != gone])
+
+    def migrated(self, key: bytes) -> Policy:
+        """Raw entries of an old policy turned into fingerprints."""
+        return replace(self, allowlist=list(dict.fromkeys(fingerprint(e, key) for e in self.allowlist)))
+
     def effective(self, base: list[Rule]) -> list[Rule]:
         """Custom rules replace base rules of their flag; an action set for the flag goes before one for the category, that before the rule's own."""
         own = {r.flag for r in self.custom_rules}

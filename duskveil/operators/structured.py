@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .decode import decode, leaves, parse_json
-from .redact import redact_text
+from .redact import redact_text, resolved, token
 from .rules import Rule
 from .scan import scan
 
@@ -85,10 +85,39 @@ def scan_multipart(df: DataFrame, ids: list[str], body: str, content_type: str,
     """Findings of the text regions of multipart bodies, with ``region_idx`` (J6: equal spans of one region once)."""
     decoded = decode(df, body, content_type).where("decoded.kind = 'multipart'")
     regions = decoded.select(*ids, F.posexplode("decoded.regions").alias("region_idx", "r"), F.col(body).cast("binary").alias("__b"), F.col("decoded.text").alias("__all"))
-    texts = regions.select(*ids, "region_idx", "__all", F.decode(F.substring("__b", F.col("r.start") + 1, F.col("r.end") - F.col("r.start")), "UTF-8").alias("__t"))
+    texts = regions.select(*ids, "region_idx", "__all", F.make_valid_utf8(F.col("__b").substr(F.col("r.start") + 1, F.col("r.end") - F.col("r.start")).cast("string")).alias("__t"))
     return scan(texts, [*ids, "region_idx"], "__t", rules, context="__all", **options)
 
 
+def redact_bytes(raw: bytes, spans: list) -> tuple[bytes | None, str | None]:
+    """Redaction of bytes by spans of their text form, in which every malformed sequence is one replacement character."""
+    at = [0]  # raw offset of each byte of the text form
+    text, pos = b"", 0
+    while True:
+        try:
+            part = raw[pos:].decode("utf-8").encode()
+            bad = 0
+        except UnicodeDecodeError as e:
+            part, bad = raw[pos : pos + e.start], e.end - e.start
+        at += range(pos + 1, pos + len(part) + 1)
+        text += part
+        pos += len(part)
+        if not bad:
+            break
+        text += "\ufffd".encode()
+        at += [pos + bad] * 3
+        pos += bad
+    moved = [{"start": at[s["start"]], "end": at[s["end"]], "flag": s["flag"], "act_rank": s["act_rank"]} if 0 <= s["start"] <= s["end"] < len(at) else {"start": 1, "end": 0, "flag": s["flag"], "act_rank": s["act_rank"]} for s in spans]
+    for s in moved:
+        if s["start"] > s["end"] or s["act_rank"] == 3:
+            return None, s["flag"]
+    done = raw
+    for s in reversed(resolved(moved)):
+        if s["act_rank"] == 2:
+            done = done[: s["start"]] + token(s["flag"], s["end"] - s["start"]).encode() + done[s["end"] :]
+    return done, None
+
+
 def redact_multipart(df: DataFrame, by_region: DataFrame, ids: list[str], body: str, content_type: str) -> DataFrame:
     """Adds ``redacted_body`` (binary) and ``blocked_by``; binary parts keep their bytes."""
     packed = (
@@ -106,11 +135,11 @@ def redact_multipart(df: DataFrame, by_region: DataFrame, ids: list[str], body:
                 for i in range(len(places) - 1 if places is not None else -1, -1, -1):
                     own = [s for s in (found if found is not None else []) if s["region"] == i]
                     a, z = places[i]["start"], places[i]["end"]
-                    new, flag = redact_text(data[a:z].decode("utf-8", "surrogateescape"), own) if own else (None, None)
+                    new, flag = redact_bytes(data[a:z], own) if own else (None, None)
                     if flag is not None:
                         blocked = flag
                     elif new is not None:
-                        data = data[:a] + new.encode("utf-8", "surrogateescape") + data[z:]
+                        data = data[:a] + new + data[z:]
                 rows.append((None, blocked) if blocked else (data, None))
             yield pd.DataFrame(rows, columns=["body", "blocked_by"])
 

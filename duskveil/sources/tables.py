@@ -14,7 +14,7 @@ AUDIT_SCHEMA = (
 def text_files(spark: SparkSession, path: str) -> DataFrame:
     """Whole files as rows ``path, text``; bytes that are no UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").load(path)
-    return files.select("path", F.decode("content", "UTF-8").alias("text"))
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def inline_text(spark: SparkSession, text: str) -> DataFrame:
