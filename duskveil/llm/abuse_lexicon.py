@@ -58,8 +58,8 @@ PHRASES = [
     r"\b(?:away|just|go) and die\b", r"\bkill (?:yourself|you)\b", r"\bstop(?:ped)? existing\b", r"\b(?:you )?disgust me\b", r"\blaughs? at you\b", r"\b(?:they|i) (?:will )?fire you\b",
     r"\bcrawl (?:away|back)\b", r"\bshut up\b", r"\bgo to hell\b", r"\bashamed to breathe\b", r"\b(?:nobody|no one).*\bcan stand you\b", r"\byour (?:mother|family)\b",
     r"\bwo du wohnst\b", r"\bgnade dir\b", r"\bdas wirst du bereuen\b", r"\boù tu habites\b", r"\btu vas le regretter\b", r"\bpersonne ne veut de toi\b", r"\bdónde vives\b", r"\bte vas a arrepentir\b", r"\bno vales nada\b", r"\btodos te odian\b",
-    r"\btheir kind\b", r"\bsend them (?:all )?(?:back|home)\b", r"\bburn (?:its|their)\b", r"\bthey are all\b", r"\bthey stink\b", r"\bnever hire\b", r"\bhave no business\b", r"\bare a disease\b", r"\bout of (?:this|our) country\b", r"\bbehind a fence\b", r"\bonly good\b.*\b(?:is|are)\b",
+    r"\btheir kind\b", r"\bsend them (?:all )?(?:back|home)\b", r"\bburn (?:its|their)\b", r"\bthey stink\b", r"\bnever hire\b", r"\bhave no business\b", r"\bare a disease\b", r"\bout of (?:this|our) country\b", r"\bbehind a fence\b", r"\bonly good\b.*\b(?:is|are)\b",
     r"\bdie sind alle\b", r"\bgehören alle\b", r"\bno deberían respirar\b", r"\bhay que echarlos\b", r"\bson basura\b", r"\bce sont tous des\b", r"\bn'ont rien à faire ici\b|\bn ont rien à faire ici\b", r"\bqu on les jette\b", r"\bsont de la vermine\b",
-    r"\bwatch your back\b", r"\bcome to my (?:room|bed)\b", r"\bleave the clothes\b", r"\bon top of me\b", r"\bwearing nothing\b", r"\bdo to you in bed\b", r"\bbetween her (?:thighs|legs)\b", r"\btore off .* clothes\b", r"\bbare breasts\b", r"\bpressed against (?:him|her)\b",
+    r"\bwatch your back\b", r"\bin (?:an ambulance|a coffin|a body bag|hospital)\b", r"\byou will (?:be carried|wake up|never walk|bleed|suffer)\b", r"\bbefore they breed\b", r"\block (?:them )?up\b.*\bbreed\b", r"\bfuck(?:ed|s|ing)? (?:her|him|me|them)\b", r"\bbegged (?:her|him) to\b", r"\bcome to my (?:room|bed)\b", r"\bleave the clothes\b", r"\bon top of me\b", r"\bwearing nothing\b", r"\bdo to you in bed\b", r"\bbetween her (?:thighs|legs)\b", r"\btore off .* clothes\b", r"\bbare breasts\b", r"\bpressed against (?:him|her)\b",
     r"\bsous sa jupe\b", r"\bzog sie aus\b", r"\barrancó la ropa\b",
 ]

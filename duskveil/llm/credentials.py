@@ -151,6 +151,10 @@ class Finder:
         if context == "key":
             return left >= 8 and letters or left >= 2 and len(value) >= 8 and letters and digits and not any(c in ".:/ " for c in value)
         if context == "said":
+            if letters and not digits and re.fullmatch(r"[A-Za-z_]{8,}", value):
+                # Letters only: case that changes like in no word, and next to nothing explained.
+                changes = sum(a.islower() and b.isupper() or a.isupper() and b.islower() for a, b in zip(value[1:], value[2:]))
+                return left >= 6 and 10 * left >= 7 * len(value) and changes >= 2
             return left >= 2 and len(value) >= 7 and mixed and not re.fullmatch(r"[A-Za-z]+(?:[-_.][A-Za-z]+)*-\d+|v?\d+(?:\.\w+)+|\d[\d.:,\-]*[a-z]{0,3}|[A-Za-z]+(?:[_\-.][A-Za-z]+)*(?:\(\))?|[\w\-]+\.[a-z]{1,4}", value)
         return left >= 16 and letters and digits and 2 * left >= len(value)
 

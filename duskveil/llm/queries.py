@@ -40,14 +40,16 @@ def _event_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "audit_events")
     cleaned = F.filter(F.transform(F.coalesce(F.col("flags"), F.array().cast("array<string>")), clean), lambda x: x.isNotNull())
     events = latest_per_key(table, "id", "received_at", {"flags": cleaned, "action_taken": clean(F.col("action_taken"))})
-    n = table.select("id").distinct().count()
+    # Rows without id are events of their own, told apart by what they hold.
+    orphan = F.concat(F.lit("\0"), F.to_json(F.struct("flags", "action_taken")))
+    n = table.select("id").where("id is not null").distinct().count() + events.where("id is null").count()
     # Repeats inside one event are folded before the shuffle.
     flags = F.transform(
         F.array_distinct("flags"),
         lambda x: F.struct(F.lit("flags").alias("field_name"), x.alias("term"), F.size(F.filter("flags", lambda y: y == x)).alias("times")),
     )
     action = F.array(F.struct(F.lit("action_taken").alias("field_name"), F.col("action_taken").alias("term"), F.lit(1).alias("times")))
-    pairs = events.select(F.col("id").alias("record"), F.explode(F.concat(flags, action)).alias("p")).select("p.field_name", "p.term", "record", "p.times")
+    pairs = events.select(F.coalesce("id", orphan).alias("record"), F.explode(F.concat(flags, action)).alias("p")).select("p.field_name", "p.term", "record", "p.times")
     return term_frequency(pairs, n)
 
 

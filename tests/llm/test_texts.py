@@ -100,11 +100,22 @@ def test_abuse_held_out(labelled):
     assert wrong <= 0.03 * len(rows)
 
 
-@pytest.mark.parametrize("written, word", [("1mb3c1l3", "imbecile"), ("$tup1d", "stupid"), ("l*ser", "loser"), ("a**hole", "asshole"), ("moooooron", "moron"), ("сrеtіn", "cretin"), ("keyboard", "keyboard"), ("a0181a80", "a0181a80"), ("x86", "x86")])
+@pytest.mark.parametrize("written, word", [("1mb3c1l3", "imbecile"), ("$tup1d", "stupid"), ("l*ser", "loser"), ("a**hole", "asshole"), ("moooooron", "moron"), ("сrеtіn", "cretin"), ("keyboard", "keyboard"), ("a0181a80", "a0181a80"), ("x86", "x86"), ("asssssshole", "asshole"), ("m**ons", "morons")])
 def test_restoration(labelled, written, word):
     assert abuse.train(labelled).restorer[written] == word
 
 
+@pytest.mark.parametrize(
+    "text, hit",
+    [
+        ("One more comment from you and you will leave this office in an ambulance.", True), ("only a p a t h e t i c c.r.e.t.i.n like you", True), ("They are vermin and should be driven out of this country.", True),
+        ("Use kill -9 on the stuck worker.", False), ("That was my own stupid mistake, sorry.", False), ("The penetration test found a naked pointer.", False), ("Foreigners must find the form in their own language.", False),
+    ],
+)
+def test_abuse_in_context(labelled, text, hit):
+    assert (abuse.train(labelled).score(text)[0] >= abuse.THRESHOLD) == hit
+
+
 def test_abuse_edge_cases(spark, labelled):
     model = abuse.train(labelled)
     rows = [(1, None, "a"), (2, "", "a"), (3, " \n ", None), (4, "plain words. " * (LONG // 13), "b"), (5, "y o u are an i.d.i.o.t, get lost you moron", "b"), (5, "y o u are an i.d.i.o.t, get lost you moron", "b"), (None, "ok", "b")]
@@ -126,6 +137,7 @@ SECRETS = [
     ("  - name: UPSTREAM_KEY\n    value: k8l3AnZwxQPBasbdwUL6AU8-7Qx", ["k8l3AnZwxQPBasbdwUL6AU8-7Qx"]),
     ("Das Passwort lautet m6lZVWLTG8GrJSlI+ heute", ["m6lZVWLTG8GrJSlI+"]),
     ("-----BEGIN EC PRIVATE KEY-----\nab\n-----END EC PRIVATE KEY-----", ["-----BEGIN EC PRIVATE KEY-----\nab\n-----END EC PRIVATE KEY-----"]),
+    ("use the key TAZmoIRDkfV until the new one arrives", ["TAZmoIRDkfV"]), ("the key collectLeaves stays", []),
     ("password: ${DB_PASSWORD}", []), ("api_key: xxxxxxxxxxxxxxxx", []), ('token = "YOUR_TOKEN"', []), ("secret = vault.read('region')", []), ("DB_PASSWORD=********", []),
     ("key: [VAULT:e8f26eb3-bd37-481f-a735-6f010e742010]", []), ('"integrity": "sha256-e73ae01a1b308865a0b965db62454cc4915d8d18ffa42d4"', []), ("commit 054a8bb6f5966604ce8199792542fdf2fd52dda1", []),
     ("primary_key: payload_id", []), ('cache_key = "falcon:offset:1065"', []), ("password_min_length = 2", []), ("-----BEGIN PUBLIC KEY-----\nab12\n-----END PUBLIC KEY-----", []),
