@@ -6,7 +6,7 @@ import html
 import re
 import unicodedata
 
-_WORD = re.compile(r"[^\W_]+")
+_WORD, _ASCII_WORD = re.compile(r"[^\W_]+"), re.compile(r"[a-z0-9]+")
 _TAG = re.compile(r"</?[a-zA-Z][^<>]*>|<!--.*?-->")
 _ESCAPED_CODE = re.compile(r"\\u([0-9a-fA-F]{4})")
 _ESCAPED_SPACE = re.compile(r"\\+[nrtfv]")
@@ -37,4 +37,5 @@ def plain(text: str) -> str:
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(plain(text))
+    text = plain(text)
+    return (_ASCII_WORD if text.isascii() else _WORD).findall(text)
