@@ -1,18 +1,22 @@
-"""The scan: rules become one projection over the text, exploded to findings.
-
-Each pattern gives an array of spans by native expressions: matches are marked by a replacement,
-the text is split at the marks, and byte offsets are summed along the pieces. All rules' arrays are
-concatenated and exploded once, so a text is read once whatever the number of rules. Only card runs
-and entropy values, which need a sequential scan, go through an Arrow function, and only texts that
-can hold one are sent there.
+"""The scan: rules over texts to findings.
+
+Spans come from one of two engines. ``arrow`` scans each text of an Arrow batch once: patterns with
+a required literal or keyword are tried only where it stands, card runs and entropy values follow.
+``native`` is one projection: matches are marked by a replacement, the text is split at the marks,
+byte offsets are summed along the pieces, all rules' arrays are concatenated and exploded once; only
+card runs and entropy values, which need a sequential scan, go through an Arrow function. What
+follows, constraints, validators, hashes and deduplication, is native for both.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,6 +28,8 @@ from .cards import card_spans
 from .rules import CARD_PATTERN, CARD_VALIDATOR, Rule, check_rules, is_multiline, java_pattern, python_pattern
 
 SPAN = "array<struct<rule:int,phase:int,start:int,end:int,value:string,line:string>>"
+_SPAN_FIELDS = {"rule": pa.int32(), "phase": pa.int32(), "start": pa.int32(), "end": pa.int32(), "value": pa.string(), "line": pa.string()}
+_CARD_LOOK = re.compile("[0-9](?:[ \u00a0./-]{0,3}[0-9]){12}")
 OPEN, CLOSE = "\u0001", "\u0002"
 MARKS = f"[{OPEN}{CLOSE}]"
 #: Texts that can hold a card number: thirteen digits with at most three characters between two; nothing is tried twice.
@@ -98,41 +104,64 @@ def _spans(text: Column, number: int, phase: int, pattern: str, keywords: tuple[
     return F.when(can & text.rlike(java), built).otherwise(F.array().cast(SPAN))
 
 
-def _byte_spans(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int, str]]:
-    if text.isascii():
-        return [(a, z, text[a:z]) for a, z in spans]
-    out, at, byte = [], 0, 0
-    for a, z in sorted(spans):
-        byte += len(text[at:a].encode("utf-8", "surrogatepass"))
-        at = a
-        out.append((byte, byte + len(text[a:z].encode("utf-8", "surrogatepass")), text[a:z]))
+class Scanner:
+    """The sequential scan of one text after another; patterns are compiled once for each task."""
+
+    def __init__(self, rules: list[Rule], cards: int | None, entropy_rule: int | None, threshold: float) -> None:
+        self.rules, self.cards, self.entropy_rule, self.threshold = rules, cards, entropy_rule, threshold
+        self.patterns = [
+            (i, _phase(rule, p), required_literal(p), tuple(k for k in rule.context_keywords if k), python_pattern(p))
+            for i, rule in enumerate(rules) if i != cards for p in rule.patterns
+        ]
+
+    def spans(self, text: str, everything: bool = True, near: str | None = None) -> list[dict]:
+        """Spans with byte offsets; ``everything``: those of the patterns too, not only cards and entropy.
+
+        ``near`` is the text that context keywords are looked for in, the text itself by default; a
+        rule none of whose keywords stands there is not tried.
+        """
+        found: list[tuple[int, int, int, int]] = []
+        if everything:
+            lower = None
+            for number, phase, literal, keywords, pattern in self.patterns:
+                if literal is not None and literal not in text:
+                    continue
+                if keywords:
+                    around = text if near is None else near
+                    lower = around.lower() if lower is None else lower
+                    if not any(k in lower for k in keywords) and not any(c in around for c in _FOLDED):
+                        continue
+                found += [(number, phase, *m.span()) for m in pattern.finditer(text)]
+        if self.cards is not None and _CARD_LOOK.search(text):
+            found += [(self.cards, 2, a, z) for a, z in card_spans(text)]
+        if self.entropy_rule is not None:
+            found += [(self.entropy_rule, 4, a, z) for a, z in entropy.entropy_spans(text, self.threshold)]
+        if not found:
+            return []
+        bytes_at = {} if text.isascii() else _byte_offsets(text, {x for f in found for x in f[2:]})
+        out = []
+        for number, phase, a, z in found:
+            line = None
+            if number < len(self.rules) and self.rules[number].context_keywords:
+                end = text.find("\n", z)
+                line = text[text.rfind("\n", 0, a) + 1 : end if end >= 0 else len(text)]
+            out.append({"rule": number, "phase": phase, "start": bytes_at.get(a, a), "end": bytes_at.get(z, z), "value": text[a:z], "line": line})
+        return out
+
+
+def _byte_offsets(text: str, places: set[int]) -> dict[int, int]:
+    """UTF-8 offset of each character offset."""
+    out, at, byte = {}, 0, 0
+    for place in sorted(places):
+        byte += len(text[at:place].encode("utf-8", "surrogatepass"))
+        at = place
+        out[place] = byte
     return out
 
 
 def python_spans(text: str, rules: list[Rule], cards: int | None, entropy_rule: int | None, threshold: float, everything: bool) -> list[dict]:
-    """Spans found by the sequential scanners; with ``everything`` those of all patterns too."""
-    out = []
-
-    def add(number: int, phase: int, spans: list[tuple[int, int]]) -> None:
-        for start, end, value in _byte_spans(text, spans):
-            a = text.find(value) if text.count(value) == 1 else None
-            line = None
-            if number < len(rules) and rules[number].context_keywords:
-                prefix = text.encode("utf-8", "surrogatepass")[:start].decode("utf-8", "ignore") if a is None else text[:a]
-                rest = text[len(prefix) + len(value) :]
-                line = prefix.rpartition("\n")[2] + value + rest.partition("\n")[0]
-            out.append({"rule": number, "phase": phase, "start": start, "end": end, "value": value, "line": line})
-
-    if everything:
-        for i, rule in enumerate(rules):
-            for pattern in rule.patterns:
-                if i != cards:
-                    add(i, _phase(rule, pattern), [m.span() for m in python_pattern(pattern).finditer(text)])
-    if cards is not None:
-        add(cards, 2, card_spans(text))
-    if entropy_rule is not None:
-        add(entropy_rule, 4, entropy.entropy_spans(text, threshold))
-    return out
+    """Spans of one text by the sequential scan."""
+    return Scanner(rules, cards, entropy_rule, threshold).spans(text, everything)
 
 
 def _phase(rule: Rule, pattern: str) -> int:
@@ -142,19 +171,50 @@ def _phase(rule: Rule, pattern: str) -> int:
     return 0 if required_literal(pattern) not in (None, "@") else 1
 
 
+def _card_rule(rules: list[Rule]) -> int | None:
+    return next((i for i, r in enumerate(rules) if r.patterns == (CARD_PATTERN,) and CARD_VALIDATOR in r.validators), None)
+
+
+def _arrow_spans(base: DataFrame, ids: list[str], rules: list[Rule], entropy_threshold: float | None, context: bool) -> DataFrame:
+    """All spans of all texts by the sequential scan over Arrow batches, one row each."""
+    kept = [*ids, *(["__context"] if context else [])]
+    kinds = dict(base.dtypes)
+    cards, entropy_rule = _card_rule(rules), len(rules) if entropy_threshold is not None else None
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scanner = Scanner(rules, cards, entropy_rule, entropy_threshold or 0.0)
+        for batch in batches:
+            texts = batch.column(len(kept)).to_pylist()
+            nears = batch.column(len(ids)).to_pylist() if context else None
+            at, found = [], []
+            for i, text in enumerate(texts):
+                if text:
+                    spans = scanner.spans(text, near=(nears[i] or "") if context else None)
+                    at += [i] * len(spans)
+                    found += spans
+            take = pa.array(np.array(at, np.int64))
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i).take(take) for i in range(len(kept))), *(pa.array([f[n] for f in found], t) for n, t in _SPAN_FIELDS.items())], names=[*kept, *_SPAN_FIELDS]
+            )
+
+    fields = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", rule int, phase int, start int, `end` int, value string, line string"
+    return base.select(*kept, "__text").mapInArrow(work, fields)
+
+
 def spans_column(text: Column, rules: list[Rule], entropy_threshold: float | None, near: Column | None = None) -> Column:
     """All spans of a text as one array, before lengths, examples, validators and the exact look at context keywords.
 
     ``near``: the column that keywords are looked for in, if it is not the match's own lines.
     """
-    cards = next((i for i, r in enumerate(rules) if r.patterns == (CARD_PATTERN,) and CARD_VALIDATOR in r.validators), None)
+    cards = _card_rule(rules)
     native = [_spans(text, i, _phase(rule, p), p, rule.context_keywords, near) for i, rule in enumerate(rules) if i != cards for p in rule.patterns]
     entropy_rule = len(rules) if entropy_threshold is not None else None
 
     @F.pandas_udf(SPAN)
     def sequential(chunks: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        scanner = Scanner(rules, cards, entropy_rule, entropy_threshold or 0.0)
         for texts in chunks:
-            yield pd.Series([[] if t is None else python_spans(t, rules, cards, entropy_rule, entropy_threshold or 0.0, OPEN in t or CLOSE in t) for t in texts])
+            yield pd.Series([[] if t is None else scanner.spans(t, OPEN in t or CLOSE in t) for t in texts])
 
     marked = F.contains(text, F.lit(OPEN)) | F.contains(text, F.lit(CLOSE))
     guards = [marked]
@@ -175,10 +235,15 @@ def keyword_pattern(keywords: tuple[str, ...]) -> str:
 
 def scan(
     df: DataFrame, ids: list[str], text: str, rules: list[Rule], *, key: bytes | None = None, context: str | None = None,
-    entropy_threshold: float | None = entropy.DEFAULT_THRESHOLD, keep_value: bool = False,
+    entropy_threshold: float | None = entropy.DEFAULT_THRESHOLD, keep_value: bool = False, engine: str = "arrow",
 ) -> DataFrame:
     """Findings of all texts, one row each.
 
+    ``engine``: ``arrow`` finds spans by a sequential scan over Arrow batches, ``native`` by JVM
+    expressions (see the module's text). Both give the same; the first was measured to take a sixth
+    of the CPU time, since the JVM's matcher walks the text once for every pattern and converts it
+    each time.
+
     ``ids, seq, flag, category, severity, sev_rank, action, act_rank, start, end, hashed_value``;
     offsets are UTF-8 bytes, end exclusive. ``seq`` is the order in which a sequential scan reports.
     Length limits, examples, validators and the hash look at the value without white space at its
@@ -189,10 +254,14 @@ def scan(
     itself only if their ids differ; equal ids share one set of findings. Other columns are ignored.
     """
     rules = check_rules(rules)
-    names = ["rule", "phase", "start", "end", "value", "line"]
     base = df.select(*ids, F.col(text).alias("__text"), *([F.col(context).alias("__context")] if context else []))
-    found = base.select(*ids, *(["__context"] if context else []), F.explode(spans_column(F.col("__text"), rules, entropy_threshold, F.col("__context") if context else None)).alias("__s"))
-    found = found.select(*ids, *(["__context"] if context else []), *(F.col(f"__s.{n}").alias(n) for n in names))
+    if engine not in ("arrow", "native"):
+        raise ValueError(f"unknown engine: {engine}")
+    if engine == "arrow":
+        found = _arrow_spans(base, ids, rules, entropy_threshold, context is not None)
+    else:
+        found = base.select(*ids, *(["__context"] if context else []), F.explode(spans_column(F.col("__text"), rules, entropy_threshold, F.col("__context") if context else None)).alias("__s"))
+        found = found.select(*ids, *(["__context"] if context else []), *(F.col(f"__s.{n}").alias(n) for n in _SPAN_FIELDS))
     value = unicode_trim(F.col("value"))
     keep = F.lit(True)
     for i, rule in enumerate(rules):
