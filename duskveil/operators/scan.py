@@ -240,9 +240,9 @@ def scan(
     """Findings of all texts, one row each.
 
     ``engine``: ``arrow`` finds spans by a sequential scan over Arrow batches, ``native`` by JVM
-    expressions (see the module's text). Both give the same; the first was measured to take a sixth
-    of the CPU time, since the JVM's matcher walks the text once for every pattern and converts it
-    each time.
+    expressions (see the module's text). Both give the same; the first was measured to take about
+    half of the CPU time, since the JVM's matcher walks the text once for every pattern and converts
+    it each time.
 
     ``ids, seq, flag, category, severity, sev_rank, action, act_rank, start, end, hashed_value``;
     offsets are UTF-8 bytes, end exclusive. ``seq`` is the order in which a sequential scan reports.
