@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from duskveil.session import build_session  # noqa: E402
+from duskveil.session import build_session, ship_package  # noqa: E402
 
 SMALL = "/root/testdata/sf0.001"
 MEDIUM = "/root/testdata/sf0.01"
@@ -15,6 +15,7 @@ MEDIUM = "/root/testdata/sf0.01"
 def spark():
     session = build_session("local[4]", "tests", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"})
     session.sparkContext.setLogLevel("ERROR")
+    ship_package(session)
     yield session
 
 

@@ -76,9 +76,11 @@ def test_decision_levels(spark):
 
 @pytest.mark.parametrize("name", ["duskveil.llm"])
 def test_core_does_not_need_the_subpackage(name):
+    import os
     import subprocess
     import sys
 
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     code = f"import sys; sys.modules['{name}'] = None\nimport __spark_entry__ as e; q = e.queries(); assert 'scan_flags' in q and 'p5_found' in q and 'p4_found' not in q and 'p1_found' not in e.oracle_sql()"
-    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True)
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root)
     assert done.returncode == 0, done.stderr
