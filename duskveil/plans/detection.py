@@ -9,7 +9,7 @@ from ..functions import hashing, text, validators
 from ..operators import audit, decode, evaluation, redact, structured
 from ..operators.entropy import DEFAULT_THRESHOLD
 from ..operators.rules import DEFAULT_RULES, Policy, Rule, rules_from_frame
-from ..operators.scan import overall_action, scan, without_allowed
+from ..operators.scan import first_match, overall_action, scan, without_allowed
 from ..session import read_table
 
 KEY = b"example key for queries"
@@ -86,9 +86,9 @@ def entropy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def rule_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the table's own rules over the documents, by flag."""
-    rules = [r for r in rules_from_frame(read_table(spark, sf_dir, "rules"))]
-    found = scan(read_table(spark, sf_dir, "documents"), ["doc_id"], "text", rules, entropy_threshold=None)
+    """Findings of the table's own rules over the messages, by flag."""
+    rules = rules_from_frame(read_table(spark, sf_dir, "rules"))
+    found = scan(_messages(spark, sf_dir), ["message_id"], "content", rules, entropy_threshold=None)
     return found.groupBy("flag").agg(F.count(F.lit(1)).alias("n_findings"))
 
 
@@ -243,12 +243,40 @@ def text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.agg(*(text.percentile_nearest_rank(F.col("n"), p).alias(f"p{round(100 * p)}") for p in (0.5, 0.95, 0.99)), F.max("cut").alias("longest_cut"))
 
 
+FX_TEXTS = ["v1.20.3-rc", "2.0", "https://Api.Example:8443/v1", "a\nb\nc\n", "[VAULT:" + "0" * 32 + "] and [VAULT:" + "1" * 32 + "]", "hmac:" + "ab" * 32, "sha256:xyz", "  padded\u00a0", ""]
+
+
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scalar functions over a few texts."""
+    v = F.col("value")
+    rows = spark.createDataFrame([(i, t) for i, t in enumerate(FX_TEXTS)], "id int, value string")
+    return rows.select(
+        "id", text.semver(v)["minor"].alias("minor"), text.url_host(v).alias("host"), text.last_lines(v, 2).alias("tail"), F.size(text.token_ids(v)).alias("n_tokens"),
+        hashing.display_fingerprint(v).alias("shown"), hashing.strip_hash_prefix(v).alias("bare"), hashing.unicode_trim(v).alias("trimmed"), hashing.is_fingerprint(v).alias("fingerprint"),
+    )
+
+
+def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Report of a scan for each message: findings by flag as text, number of hashes, strongest action."""
+    found = scan(_messages(spark, sf_dir), ["message_id"], "content", TOKENS, key=KEY, entropy_threshold=None)
+    r = audit.scan_report(found, ["message_id"])
+    counts = F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return r.select("message_id", counts.alias("counts"), F.size("hashed_values").alias("n_hashes"), "action")
+
+
+def first_private_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First private key block of each message that has one."""
+    m = _messages(spark, sf_dir).select("message_id", first_match(F.col("content"), BY_NAME["pem_private_key"]).alias("block"))
+    return m.where("block is not null").select("message_id", F.md5("block").alias("digest"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         scan_flags, scan_findings, scan_documents, scan_tokens, scan_email, scan_env_block, scan_private_keys, context_phone, entropy_values, rule_table_scan, message_actions,
         allowlist_antijoin, redact_google, redact_policy, vault_round_trip, json_leaves, json_decision, redact_json_bodies, adapter_text, multipart_regions,
         audit_from_findings, feedback_summary, validator_table, luhn_of_events, entropy_of_hashes, hash_tools, effective_rules, precision_recall, text_lengths,
+        text_functions, scan_report, first_private_key,
     )
 }
 
@@ -322,4 +350,14 @@ ORACLES = {
     "text_lengths": """with n as (select strlen(text) as n, text from documents where text is not null),
     c as (select n, text, case when strlen(text) <= 200 then strlen(text) else (select max(strlen(left(text, k))) from (select unnest(range(0, 201)) as k) where strlen(left(text, k)) <= 200) end as cut from n)
     select quantile_disc(n, 0.5) as p50, quantile_disc(n, 0.95) as p95, quantile_disc(n, 0.99) as p99, max(cut) as longest_cut from c""",
+    "text_functions": "with t(id, v) as (values " + ", ".join("(%d, '%s')" % (i, _sql(t)) for i, t in enumerate(FX_TEXTS)) + """)
+    select id, try_cast(nullif(regexp_extract(v, '^v?(\\d+)\\.(\\d+)\\.(\\d+)(?:[-+].*)?$', 2), '') as bigint) as minor, lower(nullif(regexp_extract(v, '^[a-z]+://([^/:]+)', 1), '')) as host,
+      array_to_string(string_split(rtrim(v, chr(10)), chr(10))[-2:], chr(10)) as tail, len(list_distinct(regexp_extract_all(v, '\\[VAULT:([0-9a-f]{32})\\]', 1))) as n_tokens,
+      case when regexp_full_match(v, 'hmac:[0-9a-fA-F]{64}') then substr(v, 1, 17) || '…' else v end as shown, regexp_replace(v, '^(hmac|sha256):', '') as bare,
+      regexp_replace(v, '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g') as trimmed, regexp_full_match(v, 'hmac:[0-9a-fA-F]{64}') as fingerprint from t""",
+    "scan_report": _token_rows()
+    + """, c as (select message_id, flag, any_value(action) as action, count(*) as n from f group by message_id, flag)
+    select message_id, string_agg(flag || '=' || n, ',' order by flag) as counts, sum(n)::int as n_hashes, case when bool_or(action = 'block') then 'block' else 'redact' end as action from c group by message_id""",
+    "first_private_key": _MSG
+    + f"select message_id, md5(regexp_extract(content, '{_sql(BY_NAME['pem_private_key'].patterns[0])}')) as digest from m where regexp_matches(content, '{_sql(BY_NAME['pem_private_key'].patterns[0])}')",
 }
