@@ -14,6 +14,7 @@ CATEGORIES = ("secrets", "pii", "internal_code")
 SEVERITIES = ("low", "medium", "high", "critical")
 ACTIONS = ("allow", "warn", "redact", "block")
 INTERVENTIONS = ("block", "redact", "warn")
+#: Providers known by their path.
 BUILTIN_PROVIDERS = ("openai", "anthropic", "gemini", "mistral", "groq")
 
 

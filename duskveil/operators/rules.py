@@ -57,6 +57,7 @@ class Rule:
 #: Fixed value: the bounded pattern of card numbers; with the validator below it goes to the run matcher.
 CARD_PATTERN = "(?:\\+[0-9](?:(?:[ \u00a0]{1,3}|[./-])?[0-9]){12,18}\\b|\\b[0-9](?:(?:[ \u00a0]{1,3}|[./-])?[0-9]){12,18}\\b)"
 CARD_VALIDATOR = "payment-card"
+#: Context keywords of the plain phone rule, and the names of the environment rule.
 PHONE_CONTEXT = ("phone", "phones", "tel", "telephone", "mobile", "contact", "contacts", "hotline", "e.164", "e164")
 ENV_NAMES = (
     "AWS_ACCESS_KEY_ID", "AWS_SECRET_ACCESS_KEY", "AZURE_TENANT_ID", "AZURE_CLIENT_SECRET", "DATABASE_URL", "REDIS_URL",
