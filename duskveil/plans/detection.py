@@ -251,7 +251,7 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
     v = F.col("value")
     rows = spark.createDataFrame([(i, t) for i, t in enumerate(FX_TEXTS)], "id int, value string")
     return rows.select(
-        "id", text.semver(v)["minor"].alias("minor"), text.url_host(v).alias("host"), text.last_lines(v, 2).alias("tail"), F.size(text.token_ids(v)).alias("n_tokens"),
+        "id", text.semver(v)["minor"].cast("string").alias("minor"), text.url_host(v).alias("host"), text.last_lines(v, 2).alias("tail"), F.size(text.token_ids(v)).alias("n_tokens"),
         hashing.display_fingerprint(v).alias("shown"), hashing.strip_hash_prefix(v).alias("bare"), hashing.unicode_trim(v).alias("trimmed"), hashing.is_fingerprint(v).alias("fingerprint"),
     )
 
@@ -351,7 +351,7 @@ ORACLES = {
     c as (select n, text, case when strlen(text) <= 200 then strlen(text) else (select max(strlen(left(text, k))) from (select unnest(range(0, 201)) as k) where strlen(left(text, k)) <= 200) end as cut from n)
     select quantile_disc(n, 0.5) as p50, quantile_disc(n, 0.95) as p95, quantile_disc(n, 0.99) as p99, max(cut) as longest_cut from c""",
     "text_functions": "with t(id, v) as (values " + ", ".join("(%d, '%s')" % (i, _sql(t)) for i, t in enumerate(FX_TEXTS)) + """)
-    select id, try_cast(nullif(regexp_extract(v, '^v?(\\d+)\\.(\\d+)\\.(\\d+)(?:[-+].*)?$', 2), '') as bigint) as minor, lower(nullif(regexp_extract(v, '^[a-z]+://([^/:]+)', 1), '')) as host,
+    select id, nullif(regexp_extract(v, '^v?(\\d+)\\.(\\d+)\\.(\\d+)(?:[-+].*)?$', 2), '') as minor, lower(nullif(regexp_extract(v, '^[a-z]+://([^/:]+)', 1), '')) as host,
       array_to_string(string_split(rtrim(v, chr(10)), chr(10))[-2:], chr(10)) as tail, len(list_distinct(regexp_extract_all(v, '\\[VAULT:([0-9a-f]{32})\\]', 1))) as n_tokens,
       case when regexp_full_match(v, 'hmac:[0-9a-fA-F]{64}') then substr(v, 1, 17) || '…' else v end as shown, regexp_replace(v, '^(hmac|sha256):', '') as bare,
       regexp_replace(v, '^[\\s\\x{a0}]+|[\\s\\x{a0}]+$', '', 'g') as trimmed, regexp_full_match(v, 'hmac:[0-9a-fA-F]{64}') as fingerprint from t""",

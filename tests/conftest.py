@@ -23,12 +23,13 @@ def spark():
 def against_sql():
     """Compares a query with its oracle over one data folder."""
     import duckdb
+    import pandas as pd
 
     def normal(frame):
         cols = sorted(frame.columns)
 
         def cell(v):
-            if v is None or v != v:
+            if v is None or v is pd.NA or v != v:
                 return None
             return f"{v:.6g}" if isinstance(v, float) else str(v)
 
