@@ -2,9 +2,10 @@
 
 Method. Items and documents are cut into overlapping passages of words; a passage is its TF-IDF
 vector over word pairs that occur in the items. A distributed randomised SVD gives a latent space;
-passages of documents are compared with passages of items by cosine there. Candidates go through a
-longest-common-subsequence filter and then the exact check for at least ``min_words`` consecutive
-words of the item of which at most one in ten is replaced.
+passages of documents are compared with passages of items by cosine there. A passage that shares as
+many word pairs with an item as every leak does is a candidate too, whatever its cosine. Candidates go
+through a longest-common-subsequence filter and then the exact check for at least ``min_words``
+consecutive words of the item of which at most one in ten is replaced.
 """
 
 from __future__ import annotations
@@ -22,6 +23,9 @@ PASSAGE, DOC_STEP, ITEM_STEP = 28, 4, 4
 #: Least cosine of a candidate. A leak of 28 words shares at least 24 words in a row with the nearest
 #: passages; with two of them replaced 19 of 27 word pairs still agree, a cosine of about 0.7.
 LEAST_COSINE = 0.6
+#: Item word pairs that the best passage of a leak of 28 words or more keeps at least: the worst is 40
+#: words with four replaced, a passage inside of them that has all four loses eight of its 27 pairs.
+LEAST_PAIRS = 19
 #: Rows of a batch that are made into arrays at a time: bounds a worker's memory.
 ROWS_AT_ONCE = 512
 RANK, OVERSAMPLE = 192, 16
@@ -75,12 +79,19 @@ def _passages(starts: np.ndarray, step: int) -> tuple[np.ndarray, np.ndarray, np
     return text, first, np.minimum(first + PASSAGE, starts[1:][text])
 
 
-def _vectors(feature: np.ndarray, first: np.ndarray, end: np.ndarray, weight: np.ndarray, most: float, floor: float):
-    """Rows (passage, feature, value) of passages whose cosine with anything can reach ``floor``.
+def least_pairs(min_words: int) -> int:
+    """Item word pairs in the best passage of any leak. It depends on lengths only, not on the documents' number
+    or on how many hold a pair: each replaced word takes two pairs."""
+    return max(1, min(LEAST_PAIRS, *(n - 1 - 2 * (n // 10) for n in range(min_words, 2 * min_words + 1))))
 
-    Pairs outside the features only add to a passage's length (with the largest weight), so
-    sqrt(weight inside / weight of all) bounds its cosine.
-    """
+
+def bounded_weights(counts: np.ndarray, n_docs: int) -> np.ndarray:
+    """Inverse document frequency between 1 (in every document) and 2 (in none), however many documents there are."""
+    return 1 + np.log((1 + n_docs) / (1.0 + counts)) / max(np.log(1 + n_docs), 1e-9)
+
+
+def _vectors(feature: np.ndarray, first: np.ndarray, end: np.ndarray, weight: np.ndarray, most: float, least: int):
+    """Rows (passage, feature, value) of passages with at least ``least`` pairs of the items."""
     hit = feature >= 0
     square = np.where(hit, weight[np.maximum(feature, 0)] ** 2, 0.0)
     inside = np.concatenate([[0.0], np.cumsum(square)])
@@ -88,7 +99,7 @@ def _vectors(feature: np.ndarray, first: np.ndarray, end: np.ndarray, weight: np
     last = np.maximum(end - 1, first)
     own, n_hits = inside[last] - inside[first], hits[last] - hits[first]
     total = own + (last - first - n_hits) * most**2
-    keep = np.flatnonzero((n_hits > 0) & (own >= floor**2 * np.maximum(total, 1e-9)))
+    keep = np.flatnonzero(n_hits >= least)
     where = np.flatnonzero(hit)
     lo, n = hits[first[keep]], n_hits[keep]
     row = np.repeat(np.arange(len(keep)), n)
@@ -109,6 +120,20 @@ def _project(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, bas
     return out
 
 
+def _sharing(row: np.ndarray, column: np.ndarray, n: int, owners: np.ndarray, begins: np.ndarray, n_items: int, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Passages and items that have ``least`` pairs in common; the items of feature f are owners[begins[f] : begins[f + 1]]."""
+    passages, which = [], []
+    edges = np.searchsorted(row, np.arange(0, n + 512, 512))
+    for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
+        many = np.diff(begins)[column[lo:hi]]
+        at = np.repeat(begins[column[lo:hi]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
+        shared = np.bincount(np.repeat(row[lo:hi] - 512 * k, many) * n_items + owners[at], minlength=1)
+        some = np.flatnonzero(shared >= least)
+        passages.append(some // n_items + 512 * k)
+        which.append(some % n_items)
+    return np.concatenate([*passages, np.zeros(0, np.int64)]), np.concatenate([*which, np.zeros(0, np.int64)])
+
+
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -190,7 +215,7 @@ def _feature_counts(documents: DataFrame, items: Items) -> tuple[np.ndarray, int
     return counts, n
 
 
-def _latent_basis(sample: DataFrame, items: Items, weight: np.ndarray, most: float) -> np.ndarray:
+def _latent_basis(sample: DataFrame, items: Items, weight: np.ndarray, most: float, least: int) -> np.ndarray:
     """Randomised SVD of the TF-IDF passages: a basis (features x rank) of the latent space.
 
     One step of the power method: every task multiplies its passages' rows A into A^T (A G) for a
@@ -213,7 +238,7 @@ def _latent_basis(sample: DataFrame, items: Items, weight: np.ndarray, most: flo
         for batch in _slices(batches):
             coded, starts = items.encode(batch.column(0).to_pylist())
             _, first, end = _passages(starts, DOC_STEP)
-            total += part(*_vectors(items.feature_of(coded), first, end, weight, most, LEAST_COSINE))
+            total += part(*_vectors(items.feature_of(coded), first, end, weight, most, least))
         numbers = range(0, len(total), block)
         yield pa.RecordBatch.from_arrays([pa.array([a // block for a in numbers], pa.int32()), pa.array([total[a : a + block].tobytes() for a in numbers], pa.binary())], names=["block", "part"])
 
@@ -230,7 +255,7 @@ def _latent_basis(sample: DataFrame, items: Items, weight: np.ndarray, most: flo
         product[r["block"] * block : r["block"] * block + len(some)] += some
     coded, starts, _ = _item_words(items)
     _, first, end = _passages(starts, ITEM_STEP)
-    product += part(*_vectors(items.feature_of(coded), first, end, weight, most, 0.0))
+    product += part(*_vectors(items.feature_of(coded), first, end, weight, most, 1))
     basis, _ = np.linalg.qr(product)
     return np.ascontiguousarray(basis[:, :RANK], dtype=np.float32)
 
@@ -248,21 +273,28 @@ def _unit(x: np.ndarray) -> np.ndarray:
 def _search(documents: DataFrame, id_column: str, items: Items, weight: np.ndarray, most: float, basis: np.ndarray, min_words: int, exact: bool) -> DataFrame:
     coded, starts, _ = _item_words(items)
     text, first, end = _passages(starts, ITEM_STEP)
-    keep, row, column, value, _ = _vectors(items.feature_of(coded), first, end, weight, most, 0.0)
+    keep, row, column, value, _ = _vectors(items.feature_of(coded), first, end, weight, most, 1)
     latent, item_of = _unit(_project(row, column, value.astype(np.float32), len(keep), basis)), text[keep]
-    ids = np.array(items.ids, object)
+    ids, least = np.array(items.ids, object), least_pairs(min_words)
+    held = [np.unique(items.feature_of(c)) for c in items.coded]
+    feature = np.concatenate(held)
+    owner = np.repeat(np.arange(len(held)), [len(h) for h in held])[np.argsort(feature, kind="stable")]
+    owners, begins = owner[np.count_nonzero(feature < 0) :], np.searchsorted(np.sort(feature[feature >= 0]), np.arange(len(items.features) + 1))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
             coded, starts = items.encode(batch.column(1).to_pylist())
             text, first, end = _passages(starts, DOC_STEP)
-            keep, row, column, value, _ = _vectors(items.feature_of(coded), first, end, weight, most, LEAST_COSINE)
+            keep, row, column, value, _ = _vectors(items.feature_of(coded), first, end, weight, most, least)
             made = _unit(_project(row, column, value.astype(np.float32), len(keep), basis))
             found: dict[tuple[int, int], list[int]] = {}
             for a in range(0, len(keep), 1024):
                 near, which = np.nonzero(made[a : a + 1024] @ latent.T >= LEAST_COSINE)
                 for p, i in zip(keep[near + a].tolist(), item_of[which].tolist(), strict=True):
                     found.setdefault((int(text[p]), i), []).append(p)
+            near, which = _sharing(row, column, len(keep), owners, begins, len(held), least)
+            for p, i in zip(keep[near].tolist(), which.tolist(), strict=True):
+                found.setdefault((int(text[p]), i), []).append(p)
             out_doc, out_item = [], []
             for (doc, i), passages in found.items():
                 item = items.coded[i]
@@ -303,11 +335,10 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_column: str = "doc_i
         if not len(block.features):
             continue
         counts, n_docs = _feature_counts(documents, block)
-        weight = np.log((1 + n_docs) / (1.0 + counts)) + 1
-        most = float(np.log(1 + n_docs) + 1)
+        weight, most = bounded_weights(counts, n_docs), 2.0
         classes = max(1, min(1024, (1024 * FIT_DOCUMENTS) // max(1, n_docs)))
         sample = documents.where(F.pmod(F.xxhash64(id_column), F.lit(1024)) < classes)
-        basis = _latent_basis(sample, block, weight, most)
+        basis = _latent_basis(sample, block, weight, most, least_pairs(min_words))
         found = _search(documents, id_column, block, weight, most, basis, min_words, exact)
         out = found if out is None else out.unionByName(found)
     if out is None:

@@ -85,6 +85,49 @@ def test_latent_candidates_lose_no_leak(spark):
     assert len(true) > 5 and len(true & found) >= 0.99 * len(true)
 
 
+def test_best_passage_of_a_leak_keeps_the_least_pairs():
+    """Every placing of the replaced words and every place on the grid of passages."""
+    from itertools import combinations
+
+    import numpy as np
+
+    from duskveil.llm.contamination import LEAST_PAIRS, PASSAGE, least_pairs
+
+    lowest = []
+    for n in (28, 30, 40):
+        wrong = np.array(list(combinations(range(n), n // 10)))
+        for shift in range(4):
+            best = np.zeros(len(wrong), int)
+            for first in range(shift - 32, n, 4):
+                pairs = [p for p in range(max(0, first), min(n, first + PASSAGE) - 1)]
+                lost = np.zeros((len(wrong), n), bool)
+                for w in wrong.T:
+                    lost[np.arange(len(wrong)), w] = True
+                    lost[np.arange(len(wrong)), np.maximum(w - 1, 0)] |= w > 0
+                best = np.maximum(best, len(pairs) - lost[:, pairs].sum(1))
+            lowest.append(best.min())
+    assert min(lowest) >= LEAST_PAIRS == least_pairs(28)
+
+
+def test_altered_leak_in_a_third_of_the_documents(spark):
+    """A leak is found however many documents there are and hold it: its pairs are frequent then, the words around it unknown."""
+    rng = random.Random(4)
+    items = [(i, " ".join(f"i{i}x{k}" for k in range(60))) for i in range(30)]
+    docs = []
+    for k in range(6000):
+        body = [f"u{rng.randrange(10**9)}" for _ in range(60)]
+        if k % 3 == 0:
+            part = items[0][1].split()[13:41]
+            for at in (9, 18):
+                part[at] = f"u{rng.randrange(10**9)}"
+            a = rng.randrange(1, 60)
+            body[a:a] = part
+        docs.append((k, " ".join(body)))
+    df = spark.createDataFrame(docs, "doc_id bigint, text string").repartition(4)
+    got = {tuple(r) for r in leaked_items(df, spark.createDataFrame(items, "item_id bigint, text string")).collect()}
+    assert got == {(k, 0) for k in range(0, 6000, 3)}
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     return [(r["text"], r["label"]) for r in spark.read.parquet(f"{MEDIUM}/abuse_labels.parquet").where("text is not null").collect()]
