@@ -22,6 +22,9 @@ from .spans import spans_to_rows, splice
 DICTIONARY_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEAST_WORD, LONGEST_WORD = 4, 16
 MAX_LITERAL = 4096
+#: In running text a word may begin so many characters after the keyword; it is judged whole. A stretch without a blank that
+#: is longer than LONG_STRETCH and holds keywords itself is judged from the first of them only: time stays linear.
+SAID_WITHIN, LONG_STRETCH = 120, 512
 
 #: Words that name a secret, by how much is expected of the value.
 PASSWORD_NAMES = {"password", "passwd", "passphrase", "passwort", "pwd", "pass", "contraseña", "clave", "kennwort", "pw"}
@@ -134,6 +137,7 @@ class Finder:
 
     def __init__(self, words: dict[str, float], allowed: frozenset[str] = frozenset()) -> None:
         self.segmenter, self.allowed = Segmenter(words), allowed
+        self.stretch = (0, 0)
 
     def is_secret(self, value: str, context: str) -> bool:
         """Is the residual long for its context? Contexts: password, key, said, any."""
@@ -161,6 +165,7 @@ class Finder:
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Start and end of each secret, in order, without overlaps; longer ones win."""
         found: list[tuple[int, int]] = []
+        self.stretch = (0, 0)
 
         def take(start: int, end: int, context: str) -> bool:
             if self.is_secret(text[start:end], context):
@@ -258,10 +263,14 @@ class Finder:
         at, line_end = end, text.find("\n", end)
         line_end = len(text) if line_end < 0 else line_end
         for _ in range(6):
-            x = _WORD_AFTER.search(text, at, min(line_end, end + 120))
-            if not x:
+            if self.stretch[0] < at < self.stretch[1]:
+                return None
+            x = _WORD_AFTER.search(text, at, line_end)
+            if not x or x.start() >= end + SAID_WITHIN:
                 return None
             a, z = x.span()
+            if z - a > LONG_STRETCH:
+                self.stretch = (a, z)
             ended = False
             while z > a and text[z - 1] in ",.;:?)":
                 ended, z = ended or text[z - 1] in ".?", z - 1

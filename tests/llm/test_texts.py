@@ -193,6 +193,26 @@ def test_secrets(text, want):
     assert [text[a:z] for a, z in finder.spans(text)] == want
 
 
+JWT = "eyJhbGciOiJSUzI1NiJ9." + "".join(random.Random(3).choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=300)) + ".kT9vQ2"
+
+
+@pytest.mark.parametrize("before, after", [("the token is ", ""), ("The new token of the staging server is ", " for now"), ("das Passwort für den Server lautet ", ", bis morgen."), ("key: see below; the key is (", ")\nnext")])
+def test_long_secret_in_running_text_is_whole(before, after):
+    finder = Finder(dictionary(DICTIONARY_PATH))
+    text = before + JWT + after
+    assert [text[a:z] for a, z in finder.spans(text)] == [JWT]
+    assert splice(text, [(a, z, "#") for a, z in finder.spans(text)]) == before + "#" + after
+
+
+def test_running_text_takes_linear_time():
+    import time
+
+    finder, begun = Finder(dictionary(DICTIONARY_PATH)), time.time()
+    for text in ("token," * (LONG // 6), "token " * (LONG // 6), "key;x9" * (LONG // 6), "key (" * (LONG // 5)):
+        finder.spans(text)
+    assert time.time() - begun < 30
+
+
 def test_credentials_edge_cases(spark):
     rows = [(1, None), (2, ""), (3, "x" * LONG), (4, SECRETS[0][0]), (4, SECRETS[0][0]), (None, SECRETS[0][0]), (5, SECRETS[0][0] + "\n" + SECRETS[0][0])]
     df = spark.createDataFrame(rows, "message_id bigint, content string").withColumn("found_text", F.lit(1))
