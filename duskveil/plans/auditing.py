@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
+from ..functions.cleaning import clean, event_seconds
 from ..operators import audit, decision, grants, routing
 from ..session import Stage, read_table
 from ..streaming.audit_stream import counted_windows
@@ -132,16 +133,13 @@ def grant_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grants.redeem(given, spark.createDataFrame(FX_ATTEMPTS, "nonce string, provider string, at bigint"))
 
 
-def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each provider and day counted by a stream that runs over what there is; ids count once."""
+def _streamed_windows(spark: SparkSession, source: Stage) -> DataFrame:
+    """A stream that runs over what there is and counts in windows of a day."""
     import os
     import uuid
 
     from ..session import shared_dir
 
-    table = read_table(spark, sf_dir, "audit_events")
-    keep = table.select("id", "provider", "ts_unix", "counts").where("ts_unix is not null and ts_unix < 100000000000").groupBy("id").agg(F.max_by("provider", "ts_unix").alias("provider"), F.max("ts_unix").alias("ts_unix"))
-    source = Stage(keep.withColumn("counts", F.lit(None).cast("map<string,bigint>")), "stream-source")
     place = os.path.join(shared_dir(spark), f"duskveil-stream-{uuid.uuid4().hex}")
     windows = counted_windows(spark.readStream.schema(source.df.schema).parquet(source.path), "1 day", "400 days")
 
@@ -150,14 +148,39 @@ def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     query = windows.writeStream.outputMode("complete").option("checkpointLocation", f"{place}/state").trigger(availableNow=True).foreachBatch(keep_batch).start()
     query.awaitTermination()
-    return spark.read.schema(windows.schema).parquet(f"{place}/out").select(F.date_format("window_start", "yyyy-MM-dd").alias("on_day"), "provider", "n_events")
+    return spark.read.schema(windows.schema).parquet(f"{place}/out").withColumn("on_day", F.date_format("window_start", "yyyy-MM-dd"))
+
+
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each provider and day counted by a stream; only those with ``ts_unix`` in seconds, made unique before it, as
+    its SQL has it. ``stream_windows_all`` is the whole job."""
+    table = read_table(spark, sf_dir, "audit_events")
+    keep = table.select("id", "provider", "ts_unix", "counts").where("ts_unix is not null and ts_unix < 100000000000").groupBy("id").agg(F.max_by("provider", "ts_unix").alias("provider"), F.max("ts_unix").alias("ts_unix"))
+    source = Stage(keep.withColumn("counts", F.lit(None).cast("map<string,bigint>")), "stream-source")
+    return _streamed_windows(spark, source).select("on_day", "provider", "n_events")
+
+
+def windows_of_all(events: DataFrame) -> DataFrame:
+    """Events and findings of each provider and day by a stream over every row, repeated ids included.
+
+    The rows of one id stand in one file, the latest received first: the stream keeps the first it meets. An event
+    without a time is in no window.
+    """
+    timed = events.select("id", clean(F.col("provider")).alias("provider"), event_seconds(F.col("ts_unix"), F.col("ts")).alias("ts_unix"), "counts", "received_at")
+    source = Stage(timed.repartition("id").sortWithinPartitions("id", F.desc("received_at")).drop("received_at"), "stream-source")
+    return _streamed_windows(events.sparkSession, source).select("on_day", "provider", "n_events", "n_findings")
+
+
+def stream_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events and findings of each provider and day, the whole table through the stream."""
+    return windows_of_all(read_table(spark, sf_dir, "audit_events"))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         stats_by_provider, stats_by_tool, top_flags, top_flags_by_provider, stats_summary, recent_events, recent_openai, events_since, events_snapshot, retention_keep, write_gate,
-        interventions, telemetry_row, route_longest_prefix, route_host, provider_of_path, decision_table, grant_replay, stream_windows,
+        interventions, telemetry_row, route_longest_prefix, route_host, provider_of_path, decision_table, grant_replay, stream_windows, stream_windows_all,
     )
 }
 

@@ -84,3 +84,31 @@ def test_core_does_not_need_the_subpackage(name):
     code = f"import sys; sys.modules['{name}'] = None\nimport __spark_entry__ as e; q = e.queries(); assert 'scan_flags' in q and 'p5_found' in q and 'p4_found' not in q and 'p1_found' not in e.oracle_sql()"
     done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, cwd=root)
     assert done.returncode == 0, done.stderr
+
+
+def test_stream_windows_over_the_whole_table(spark):
+    """Milliseconds, missing times, repeated ids and counts: the stream gives what a batch does."""
+    from duskveil.functions.cleaning import clean, event_seconds, map_total
+    from duskveil.operators.dedup import latest_per_key
+    from duskveil.plans.auditing import stream_windows_all, windows_of_all
+
+    from .conftest import MEDIUM
+
+    day = 1_740_000_000 // 86400 * 86400
+    rows = [
+        ("a", " OpenAI", day, {"x": 2, "y": None}, 1), ("a", "openai", day, {"x": 5}, 9), ("a", "openai", day, {"x": 3}, 2), ("b", "openai", (day + 60) * 1000, {"x": 1}, 1), ("b", "openai", (day + 60) * 1000, {"x": 1}, 1),
+        ("c", None, day + 86400, None, 1), ("d", "gemini", None, {"x": 7}, 1), ("d", "gemini", None, {"x": 7}, 1),
+        ("e", "gemini", day, {"x": 1}, 1), ("e", "gemini", None, {"x": 1}, 2), ("f", "gemini", None, None, 1),
+    ]
+    df = spark.createDataFrame(rows, "id string, provider string, ts_unix bigint, counts map<string,bigint>, r int")
+    stamp = F.to_timestamp_ntz(F.lit("2025-02-20 10:00:00"))
+    df = df.select("id", "provider", "ts_unix", "counts", F.when(F.col("id") == "d", stamp).alias("ts"), F.timestamp_seconds(F.col("r")).alias("received_at"))
+    got = sorted(tuple(r) for r in windows_of_all(df).select("on_day", "provider", "n_events", "n_findings").collect())
+    assert got == [("2025-02-19", "openai", 2, 6), ("2025-02-20", "gemini", 1, 7), ("2025-02-20", "unknown", 1, 0)]
+
+    payload = {"provider": F.coalesce(clean(F.col("provider")), F.lit("unknown")), "s": event_seconds(F.col("ts_unix"), F.col("ts")), "n": map_total(F.col("counts"))}
+    table = spark.read.parquet(f"{MEDIUM}/audit_events.parquet")
+    once = latest_per_key(table, "id", "received_at", payload).where("s is not null")
+    want = once.groupBy(F.date_format(F.timestamp_seconds("s"), "yyyy-MM-dd"), "provider").agg(F.count(F.lit(1)), F.sum("n"))
+    got = stream_windows_all(spark, MEDIUM).collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want.collect())) and table.count() > sum(r["n_events"] for r in got)
