@@ -58,10 +58,12 @@ _NAME_START = re.compile(rf"[{_UP}](?<![\w@.\-/].)[^\W\d_]+(?:['’\-][^\W\d_]+)
 _STREET_END = re.compile(r"(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|ring|damm|steig|graben|chaussee|pfad|markt)\Z")
 _PARTICLE = r"(?:van|von|vom|zu|zum|zur|de|del|della|di|da|do|dos|das|du|der|den|la|le|los|las|ten|ter|bin|ibn|al|el|af|av|mac|mc|y|e|st\.)"
 _PART = rf"[{_UP}][{_LOW}]+(?:['’\-][{_UP}]?[{_LOW}]+)*(?:[{_UP}][{_LOW}]+)?"
-_NAME = re.compile(rf"(?<![\w@.\-/]){_PART}(?: (?:[{_UP}]\.|{_PARTICLE}|{_PART})){{1,6}}(?![\w@/])")
+_NAME = re.compile(rf"(?<![\w@.\-/]){_PART}(?: (?:[{_UP}]\.|{_PARTICLE}|{_PART}))+(?![\w@/])")
+#: Parts of the longest name.
+MOST_PARTS = 7
 _NAME_TURNED = re.compile(rf"(?<![\w@.\-/])((?:{_PARTICLE} ){{0,3}}{_PART}), ({_PART}(?: [{_UP}]\.)?)(?![\w@/])")
 _CAPS = rf"[{_UP}]{{2,}}(?:['’\-][{_UP}]{{2,}})*"
-_NAME_CAPS = re.compile(rf"(?<![\w@.\-/]){_CAPS}(?: (?:[{_UP}]\.|{_CAPS})){{1,6}}(?![\w@/])")
+_NAME_CAPS = re.compile(rf"(?<![\w@.\-/]){_CAPS}(?: (?:[{_UP}]\.|{_CAPS}))+(?![\w@/])")
 _NAME_CAPS_TURNED = re.compile(rf"(?<![\w@.\-/])({_CAPS}(?: {_CAPS}){{0,3}}), ({_CAPS}(?: [{_UP}]\.)?)(?![\w@/])")
 _CONTEXT = re.compile(r"[^\W_]+|[^\w\s]")
 _PARTICLES_BEFORE = re.compile(rf"(?<!\w)((?:(?:{_PARTICLE}) )+)\Z")
@@ -255,13 +257,18 @@ class Candidates:
                     lead = _PARTICLES_BEFORE.search(text, max(0, m.start() - 16), m.start())
                     self._name(text, lead.start(1) if lead else m.start(), m.end(), m.group(2).split(" ")[0], m.group(1).split(" ")[-1], add, clear, True)
                     continue
-                # A capitalised run may hold words before or after the name: each stretch is a variant.
+                # A capitalised run may hold words before or after the name, or several names: each stretch is a variant.
                 parts = [(p.start() + m.start(), p.end() + m.start(), p.group(0)) for p in re.finditer(r"\S+", m.group(0))]
-                for i in range(min(3, len(parts) - 1)):
-                    for j in range(len(parts), max(i + 1, len(parts) - 2), -1):
+                low = [p[2].lower() for p in parts]
+                # Where a listed family name ends one full name and a listed given name that is no family name begins another.
+                ends = [k for k in range(2, len(parts) - 1) if low[k - 1] in self.family and low[k] in self.given and low[k] not in self.family]
+                for i in range(len(parts) - 1):
+                    for j in range(min(len(parts), i + MOST_PARTS), i + 1, -1):
                         first, last = parts[i], parts[j - 1]
                         if first[2].endswith(".") or last[2].endswith(".") or _PARTICLE_WORD.match(last[2]) or _PARTICLE_WORD.match(first[2]) and first[2].islower():
                             continue
+                        if low[i] in self.given and low[j - 1] in self.family and any(i + 2 <= k <= j - 2 for k in ends):
+                            continue
                         self._name(text, first[0], last[1], first[2], last[2], add, clear, False)
 
     def _name(self, text: str, a: int, z: int, given: str, family: str, add, clear, turned: bool) -> None:

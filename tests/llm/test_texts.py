@@ -262,5 +262,16 @@ def test_personal_edge_cases(spark):
     assert personal.find_personal(df.where("message_id < 5"), "message_id", "content", names.limit(0)).count() >= 0
 
 
+def test_names_anywhere_in_a_capitalised_run(spark):
+    given, family = ["Marta", "Kofi", "Emil", "Noemi", "Livia"], ["Varnvik", "Fennander", "Oskvik", "Brelane", "Stavstrom"]
+    people = [f"{g} {f}" for g, f in zip(given, family, strict=True)]
+    rows = [(i, f"Author: {p}") for i, p in enumerate(people)]
+    rows += [(10, "Marta Varnvik Senior Security Engineer, Oslo"), (11, "Our Chief Information Officer Kofi Fennander left"), (12, "Roster " + " ".join(people)), (13, "LEAD SENIOR STAFF ENGINEER EMIL OSKVIK")]
+    df = spark.createDataFrame(rows, "message_id bigint, content string")
+    names = spark.createDataFrame([(n, "given") for n in given] + [(n, "family") for n in family], "person_name string, kind string")
+    got = {(r["message_id"], r["found_text"]) for r in personal.find_personal(df, "message_id", "content", names).collect() if r["message_id"] >= 10}
+    assert got == {(10, people[0]), (11, people[1]), *((12, p) for p in people), (13, "EMIL OSKVIK")}
+
+
 def test_dictionary_is_no_part_of_the_repository():
     assert os.path.isabs(DICTIONARY_PATH) and not DICTIONARY_PATH.startswith(os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__)))))
