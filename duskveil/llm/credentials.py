@@ -21,7 +21,8 @@ from .spans import spans_to_rows, splice
 #: Vocabulary of a public tokenizer: its alphabetic entries, with their ranks, are the dictionary.
 DICTIONARY_PATH = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 LEAST_WORD, LONGEST_WORD = 4, 16
-MAX_LITERAL = 4096
+#: Literals up to this length are remembered with their residual.
+REMEMBERED = 512
 #: In running text a word may begin so many characters after the keyword; it is judged whole. A stretch without a blank that
 #: is longer than LONG_STRETCH and holds keywords itself is judged from the first of them only: time stays linear.
 SAID_WITHIN, LONG_STRETCH = 120, 512
@@ -34,7 +35,7 @@ HARMLESS_PARTS = {"public", "pub", "primary", "foreign", "cache", "sort", "parti
 #: What stands in for a value.
 _PLACEHOLDER = re.compile(
     r"""(?ix) ^(?: [*x•.\-_?]{3,} | .*(?:\byour|your_|your-|example|placeholder|changeme|change_me|redacted|dummy|insert|replace|todo|<[^>]*>|\.\.\.) .* | none | null | nil | true | false | undefined | secret | password | token )$
-    | ^\$ [\w{(] .* | ^%(?:\(\w+\)s|[A-Z_]+%)$ | ^\{\{ .* | ^\[[A-Z]+:.* | ^(?:\w+\.)*\w+[(\[] .* | ^@\w*\( | ^ENC\[ | .*(?:\w)\1{7,} .* """.replace(r"(?:\w)\1", r"(\w)\1")
+    | ^\$ [\w{(] .* | ^%(?:\(\w+\)s|[A-Z_]+%)$ | ^\{\{ .* | ^\[[A-Z]+:.* | ^(?:\w+\.)*\w+[(\[] .* | ^@\w*\( | ^ENC\[ | (\w)\1{7,} """
 )
 _HASH_PREFIX = re.compile(r"(?i)^(?:sha-?\d{1,3}|md5|hmac|blake2[bs]?|bypass-hash|ssh-\w+)[-:_ ]|^SHA256:")
 _HEX_FORMAT = re.compile(r"(?i)^(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9a-f]{7,12})$")
@@ -43,11 +44,11 @@ _PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]*)PRIVATE KEY(?: BLOCK)?-----.*?-----EN
 _KEYWORD = re.compile(r"passwor[dt]|passwd|passphrase|pass(?![a-z])|pwd|secret|token|key|credentials?|authorization|auth(?![a-z])|bearer|\bsid\b|contraseña|clave|mot de passe|kennwort|logged in|login")
 _NAME_BEFORE = re.compile(r"[\w.\-]{0,60}\Z")
 _ASSIGN = re.compile(r"""["'`\]]{0,2}[ \t]{0,8}(?:=>|:=|==|[:=])[ \t]{0,8}""")
-_XML = re.compile(r">([^<>\n]{1,512})</")
+_XML = re.compile(r">([^<>\n]+)</")
 _VALUE = re.compile(r"""(["'`])((?:\\.|(?!\1)[^\\\n])*)\1|([^\s"'`<>,;]+(?:,(?=\S)[^\s"'`<>,;]+)*)""")
 _SCHEME = re.compile(r"(?i)(bearer|basic|token|digest)[ \t]+")
 _URL = re.compile(r"[a-zA-Z][a-zA-Z0-9+.\-]*://[^\s:@/\"'<>]*:([^\s@/\"'<>]+)@")
-_QUOTED = re.compile(r"""[=:(\[,][ \t]*(["'`])([^"'`\s]{20,512})\1""")
+_QUOTED = re.compile(r"""[=:(\[,][ \t]*(["'`])([^"'`\s]{20,})\1""")
 _SHORT_NAME = re.compile(r"(?<![\w.])[kK][ \t]*\Z")
 _VENDOR = re.compile(r"\b(?:sk-(?:ant-)?[A-Za-z0-9]{20,}|[sp]k_(?:live|test)_[A-Za-z0-9]{10,}|gh[a-z]_\w{30,}|AKIA[0-9A-Z]{16}\b|xox[a-z]-[\w-]{20,}|AIza[\w-]{30,})(?![\w])")
 _USER_OPTION = re.compile(r"(?:\s-u|--user)[ =]?([^\s:'\"]+):([^\s'\"]+)")
@@ -82,6 +83,8 @@ class Segmenter:
 
     def residual(self, literal: str) -> int:
         """Characters that the best path leaves to no word."""
+        if len(literal) > REMEMBERED:
+            return self._residual(literal)
         if literal not in self.seen:
             if len(self.seen) >= 100_000:
                 self.seen.clear()
@@ -141,7 +144,7 @@ class Finder:
 
     def is_secret(self, value: str, context: str) -> bool:
         """Is the residual long for its context? Contexts: password, key, said, any."""
-        if not 4 <= len(value) <= MAX_LITERAL or value in self.allowed or placeholder(value) or _HASH_PREFIX.match(value):
+        if len(value) < 4 or value in self.allowed or placeholder(value) or _HASH_PREFIX.match(value):
             return False
         if context in ("said", "any") and (_HEX_FORMAT.match(value) and context == "any" or _UUID.match(value)):
             return False
@@ -162,13 +165,26 @@ class Finder:
             return left >= 2 and len(value) >= 7 and mixed and not re.fullmatch(r"[A-Za-z]+(?:[-_.][A-Za-z]+)*-\d+|v?\d+(?:\.\w+)+|\d[\d.:,\-]*[a-z]{0,3}|[A-Za-z]+(?:[_\-.][A-Za-z]+)*(?:\(\))?|[\w\-]+\.[a-z]{1,4}", value)
         return left >= 16 and letters and digits and 2 * left >= len(value)
 
+    def is_secret_phrase(self, value: str, context: str) -> bool:
+        """A quoted value with blanks: words explain less than half of it, and a part mixes letters with something else.
+
+        A sentence leaves a residual too (a figure, words of another language) but hardly both. One that names a secret
+        itself is running text.
+        """
+        if value in self.allowed or placeholder(value) or _HASH_PREFIX.match(value) or _KEYWORD.search(value.lower()):
+            return False
+        parts = [p.strip(".,;:!?()") for p in value.split()]
+        mixed = any(any(c.isalpha() for c in p) and any(not c.isalpha() for c in p) and self.segmenter.residual(p) >= 2 for p in parts)
+        left = self.segmenter.residual(value)
+        return mixed and left >= (8 if context == "key" else 4) and 2 * left >= sum(map(len, parts))
+
     def spans(self, text: str) -> list[tuple[int, int]]:
         """Start and end of each secret, in order, without overlaps; longer ones win."""
         found: list[tuple[int, int]] = []
         self.stretch = (0, 0)
 
-        def take(start: int, end: int, context: str) -> bool:
-            if self.is_secret(text[start:end], context):
+        def take(start: int, end: int, context: str, judge=self.is_secret) -> bool:
+            if judge(text[start:end], context):
                 found.append((start, end))
                 return True
             return False
@@ -236,7 +252,7 @@ class Finder:
             if v.group(1) is None:
                 z = self._unquoted_end(text, a, z)
             if " " in text[a:z]:
-                return None
+                return z if take(a, z, kind, self.is_secret_phrase) else None
             take(a, z, kind)
             return z
         # The name stands in one line, its value in the next: name: X_KEY / value: ...

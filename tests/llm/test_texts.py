@@ -204,11 +204,26 @@ def test_long_secret_in_running_text_is_whole(before, after):
     assert splice(text, [(a, z, "#") for a, z in finder.spans(text)]) == before + "#" + after
 
 
+BLOB = "".join(random.Random(5).choices("abcdefghijkmnpqrstuvwxyzABCDEFGHJKLMNPQRSTUVWXYZ23456789", k=6000))
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (f"PRIVATE_KEY={BLOB}", [BLOB]), (f'secret_key = "{BLOB}"', [BLOB]), (f'connect("{BLOB[:700]}")', [BLOB[:700]]), (f"<password>{BLOB[:800]}</password>", [BLOB[:800]]), (f"the token is {BLOB}", [BLOB]),
+        ('password = "xK9p vQ2z 7Lmt"', ["xK9p vQ2z 7Lmt"]), ("passphrase: 'Zr4# kuvq Wm81 tz'", ["Zr4# kuvq Wm81 tz"]),
+        ('password: "Must be at least 8 characters"', []), ('token: "The request has expired (401)"', []), ('clave: "Debe tener 8 caracteres o más"', []), ('secret: "Das Feld muss ausgefüllt sein"', []),
+    ],
+)
+def test_secrets_of_any_length_and_with_blanks(text, want):
+    assert [text[a:z] for a, z in Finder(dictionary(DICTIONARY_PATH)).spans(text)] == want
+
+
 def test_running_text_takes_linear_time():
     import time
 
     finder, begun = Finder(dictionary(DICTIONARY_PATH)), time.time()
-    for text in ("token," * (LONG // 6), "token " * (LONG // 6), "key;x9" * (LONG // 6), "key (" * (LONG // 5)):
+    for text in ("token," * (LONG // 6), "token " * (LONG // 6), "key;x9" * (LONG // 6), "key (" * (LONG // 5), "key=" * (LONG // 4), 'key="a1 ' * (LONG // 8), "<key>" + "a1 " * (LONG // 3) + "</key>"):
         finder.spans(text)
     assert time.time() - begun < 30
 
