@@ -157,7 +157,8 @@ class Restorer(dict):
         known = self.channel.vocabulary
         if token in known or token.isalpha() and token.isascii() and not _RUN.search(token):
             return token
-        if not 3 <= len(token) <= 40:
+        # A drawn-out word is as long as its letters, each run counted twice at most.
+        if len(token) < 3 or len(re.sub(r"([^*])\1+", r"\1\1", token)) > 40:
             return token
         letters = sum(c.isalpha() for c in token)
         digits = sum(c.isdigit() for c in token)

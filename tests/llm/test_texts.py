@@ -148,6 +148,11 @@ def test_restoration(labelled, written, word):
     assert abuse.train(labelled).restorer[written] == word
 
 
+def test_drawn_out_words_of_any_length(labelled):
+    restorer = abuse.train(labelled).restorer
+    assert restorer["m" + "o" * 60 + "ron"] == "moron" and restorer["id" + "i" * 5000 + "ot"] == "idiot" and restorer["x" * 60] == "x" * 60
+
+
 @pytest.mark.parametrize(
     "text, hit",
     [
