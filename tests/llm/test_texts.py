@@ -13,6 +13,7 @@ from duskveil.llm.spans import splice
 from duskveil.llm.words import words
 
 from ..conftest import MEDIUM
+from .abuse_wording import HIDDEN, NONE, PLAIN
 
 LONG = 200_000
 
@@ -145,12 +146,48 @@ def test_abuse_held_out(labelled):
 
 @pytest.mark.parametrize("written, word", [("1mb3c1l3", "imbecile"), ("$tup1d", "stupid"), ("l*ser", "loser"), ("a**hole", "asshole"), ("moooooron", "moron"), ("сrеtіn", "cretin"), ("keyboard", "keyboard"), ("a0181a80", "a0181a80"), ("x86", "x86"), ("asssssshole", "asshole"), ("m**ons", "morons")])
 def test_restoration(labelled, written, word):
-    assert abuse.train(labelled).restorer[written] == word
+    assert abuse.train(labelled).restore(written) == word
 
 
 def test_drawn_out_words_of_any_length(labelled):
-    restorer = abuse.train(labelled).restorer
-    assert restorer["m" + "o" * 60 + "ron"] == "moron" and restorer["id" + "i" * 5000 + "ot"] == "idiot" and restorer["x" * 60] == "x" * 60
+    restore = abuse.train(labelled).restore
+    assert restore("m" + "o" * 60 + "ron") == "moron" and restore("id" + "i" * 5000 + "ot") == "idiot" and restore("x" * 60) == "x" * 60
+
+
+def test_unseen_wording_and_disguises(labelled):
+    """Sentences written before the model: recall and precision, and what the Viterbi restoration decides of it."""
+    model = abuse.train(labelled)
+    bare = abuse.Model(model.vocabulary, model.unigrams, model.pairs, model.classes, restoring=False)
+    hit = [bool(model.score(t)[1]) for t in PLAIN + HIDDEN]
+    false = sum(bool(model.score(t)[1]) for t in NONE)
+    assert sum(hit) >= 0.9 * len(hit) and sum(hit) >= 0.9 * (sum(hit) + false)
+    assert sum(bool(bare.score(t)[1]) for t in HIDDEN) <= 0.5 * len(HIDDEN)
+
+
+@pytest.mark.parametrize("written, words", [("p a t h e t i c c.r.e.t.i.n", ["pathetic", "cretin"]), ("i d 1 0 t", ["idiot"]), ("$ h i t", ["shit"]), ("l - o . s / e r", ["loser"]), ("m o r 0 n", ["moron"])])
+def test_spaced_letters_pass_through_the_lattice(labelled, written, words):
+    assert abuse.train(labelled).channel.decode(written, spaced=True) == words
+
+
+def test_viterbi_equals_all_paths(labelled):
+    """The decoder finds the cheapest of all readings, enumerated one by one."""
+    from itertools import product
+
+    channel = abuse.train(labelled).channel
+
+    def cost(word: str) -> float:
+        padded = "^^^" + word + "$"
+        gain = channel.WORTH if word in abuse.WORTH_HIDING else channel.KNOWN if word in channel.known else 0.0
+        return sum(channel.step(padded[i - 3 : i], padded[i]) for i in range(3, len(padded))) + channel.END - gain
+
+    for written in ("1d10t", "f4g0t!", "w0rth|3$$", "4b1|17y", "$tup1d", "h3||0"):
+        noise = sum(channel.readings(c)[0][1] for c in written)
+        runs = [(m.group(1), len(m.group(0))) for m in abuse._RUN.finditer(written)]
+        readings = []
+        for c, n in runs:
+            readings.append([(x * k, channel.SHORTER * (n - k)) for x, _ in channel.readings(c) for k in range(1, n + 1)])
+        best = min((sum(p for _, p in path) + cost("".join(x for x, _ in path)), "".join(x for x, _ in path)) for path in product(*readings))
+        assert channel.decode(written) == [best[1]] and noise > 0
 
 
 @pytest.mark.parametrize(
