@@ -7,6 +7,10 @@ candidate; a longer run is cut at separators into a chain of valid numbers.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
+from itertools import accumulate, groupby
+from operator import add, itemgetter
+from typing import NamedTuple
 
 from ..functions.validators import ISSUERS
 
@@ -69,51 +73,57 @@ def _pieces(run: str) -> list[tuple[int, int]]:
     return [*out, (a, len(run))]
 
 
+class _Plan(NamedTuple):
+    """Numbers taken so far: what they are worth, the last of them, the plan before it."""
+
+    worth: tuple[int, int, int, int]
+    span: tuple[int, int] | None
+    before: _Plan | None
+
+
+_NOTHING = _Plan((0, 0, 0, 0), None, None)
+
+
 def _chain(text: str, pieces: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """Best chain of valid numbers over the groups of one long run.
+    """Numbers in a run of more than 19 digits, cut at its separators only.
 
-    Node k lies before group k. ``best[k]`` is the best chain that ends there: its score (digits
-    covered, numbers of 16 digits, separators at multiples of four digits, numbers), where it
-    starts, its last number's start, and the node before. Chains start at the run's start or, after
-    an invalid stretch of 13 to 19 digits, behind a chain; a number of one group may also end the
-    run on its own. No tail of fewer than 13 digits may be dropped.
+    A number is a stretch of groups with 13 to 19 digits that holds the checks. It follows on the run's start, on the number before
+    it, or, where none ends there, on the best one 13 to 19 digits away; a last group may also stand alone behind 13 digits or more.
+    What stays behind the last number is nothing or has 13 digits at least. Worth, in this order: digits covered, numbers of 16
+    digits, separators at multiples of four, numbers; of equals the later start and the later end.
     """
-    last = len(pieces)
-    before = [0]
-    for a, z in pieces:
-        before.append(before[-1] + sum(c in "0123456789" for c in text[a:z]))
-    best: dict[int, tuple[tuple[int, int, int, int], int, int, int | None]] = {}
-    for end in range(1, last + 1):
-        if end != last and before[end] > 19 and not best:
-            continue
-        for begin in range(end - 1, -1, -1):
-            n = before[end] - before[begin]
-            if n > 19:
-                break
-            link = begin if begin in best else None
-            if link is None and begin and best:
-                behind = [k for k in best if k < begin and 13 <= before[begin] - before[k] <= 19]
-                link = min(behind, key=lambda k: (tuple(-x for x in best[k][0]), k), default=None)
-            alone = end == last and before[begin] >= 13 and end - begin == 1
-            if begin and link is None and not alone:
-                continue
-            if n < 13 or not card_valid(text[pieces[begin][0] : pieces[end - 1][1]]):
-                continue
-            base = best[link][0] if link is not None else (0, 0, 0, 0)
-            aligned = sum((before[k] - before[begin]) % 4 == 0 for k in range(begin + 1, end))
-            score = (base[0] + n, base[1] + (n == 16), base[2] + aligned, base[3] + 1)
-            if end not in best or score > best[end][0]:
-                best[end] = (score, best[link][1] if link is not None else begin, begin, link)
-    ends = [
-        k for k, state in best.items()
-        if (before[last] == before[k] or before[last] - before[k] >= 13) and (state[1] == 0 or k == last and before[state[1]] >= 13)
+    size = list(accumulate((sum(c in "0123456789" for c in text[a:z]) for a, z in pieces), initial=0))
+    whole = len(pieces)
+    numbers = [
+        (z, -a)
+        for a in range(whole)
+        for z in range(bisect_left(size, size[a] + 13), bisect_right(size, size[a] + 19))
+        if card_valid(text[pieces[a][0] : pieces[z - 1][1]])
     ]
-    if not ends:
-        return []
-    node: int | None = max(ends, key=lambda k: (best[k][0], k))
-    out = []
-    while node is not None:
-        _, _, begin, link = best[node]
-        out.append((pieces[begin][0], pieces[node - 1][1]))
-        node = link
+    ending: dict[int, _Plan] = {}
+
+    def behind(a: int, z: int) -> _Plan | None:
+        if a == 0 or a in ending:
+            return ending.get(a, _NOTHING)
+        away = [ending[k] for k in range(bisect_left(size, size[a] - 19), bisect_right(size, size[a] - 13)) if k in ending]
+        if away:
+            return max(away, key=lambda p: p.worth)
+        return _NOTHING if z == whole == a + 1 and size[a] >= 13 else None
+
+    for z, starts in groupby(sorted(numbers), key=itemgetter(0)):
+        plans = []
+        for _, minus in starts:
+            a = -minus
+            before = behind(a, z)
+            if before is not None:
+                n, aligned = size[z] - size[a], sum((size[k] - size[a]) % 4 == 0 for k in range(a + 1, z))
+                worth = tuple(map(add, before.worth, (n, n == 16, aligned, 1)))
+                plans.append(_Plan(worth, (pieces[a][0], pieces[z - 1][1]), before))
+        if plans:
+            ending[z] = max(plans, key=lambda p: p.worth)
+    last = max((p.worth, z) for z, p in [(0, _NOTHING), *ending.items()] if not 0 < size[whole] - size[z] < 13)
+    plan, out = ending.get(last[1], _NOTHING), []
+    while plan.span is not None:
+        out.append(plan.span)
+        plan = plan.before
     return out[::-1]
