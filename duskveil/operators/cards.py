@@ -17,6 +17,8 @@ from ..functions.validators import ISSUERS
 _RUN = re.compile("\\+?[0-9]+(?:(?:[./-]|[ \u00a0]{1,3})[0-9]+)*")
 _GAP = re.compile("[./-]|[ \u00a0]{1,3}")
 _WORD = re.compile(r"\w")
+#: Runs stand in such stretches only.
+_STRETCH = re.compile("[0-9][0-9 \u00a0./-]{11,}[0-9]")
 
 
 def _word(c: str) -> bool:
@@ -40,27 +42,28 @@ def card_valid(value: str) -> bool:
 def card_spans(text: str) -> list[tuple[int, int]]:
     """Character spans of card numbers, in order."""
     out: list[tuple[int, int]] = []
-    at = 0
-    while m := _RUN.search(text, at):
-        start, end = m.span()
-        if text[start] != "+" and start and _word(text[start - 1]):
-            # Digits inside a word: no run may begin before the word ends.
-            at = start + 1
-            while at < len(text) and text[at] in "0123456789":
-                at += 1
-            continue
-        at = end
-        if end < len(text) and _word(text[end]):
-            continue
-        pieces = [(start + a, start + z) for a, z in _pieces(m.group(0))]
-        n = sum(sum(c in "0123456789" for c in text[a:z]) for a, z in pieces)
-        if n < 13:
-            continue
-        if n <= 19:
-            if card_valid(text[start:end]):
-                out.append((start, end))
-        else:
-            out += _chain(text, pieces)
+    for stretch in _STRETCH.finditer(text):
+        at = stretch.start() - (text[stretch.start() - 1 : stretch.start()] == "+")
+        while (m := _RUN.search(text, at)) and m.start() < stretch.end():
+            start, end = m.span()
+            if text[start] != "+" and start and _word(text[start - 1]):
+                # Digits inside a word: no run may begin before the word ends.
+                at = start + 1
+                while at < len(text) and text[at] in "0123456789":
+                    at += 1
+                continue
+            at = end
+            if end < len(text) and _word(text[end]):
+                continue
+            pieces = [(start + a, start + z) for a, z in _pieces(m.group(0))]
+            n = sum(sum(c in "0123456789" for c in text[a:z]) for a, z in pieces)
+            if n < 13:
+                continue
+            if n <= 19:
+                if card_valid(text[start:end]):
+                    out.append((start, end))
+            else:
+                out += _chain(text, pieces)
     return out
 
 

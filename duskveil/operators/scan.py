@@ -12,7 +12,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 
 import numpy as np
 import pandas as pd
@@ -25,15 +25,14 @@ from ..functions.text import ACTIONS, SEVERITIES, rank, unrank
 from ..functions.validators import all_pass
 from . import entropy
 from .cards import card_spans
+from .guards import guard_of
 from .rules import CARD_PATTERN, CARD_VALIDATOR, Rule, check_rules, is_multiline, java_pattern, python_pattern
 
 SPAN = "array<struct<rule:int,phase:int,start:int,end:int,value:string,line:string>>"
 _SPAN_FIELDS = {"rule": pa.int32(), "phase": pa.int32(), "start": pa.int32(), "end": pa.int32(), "value": pa.string(), "line": pa.string()}
-_CARD_LOOK = re.compile("[0-9](?:[ \u00a0./-]{0,3}[0-9]){12}")
 OPEN, CLOSE = "\u0001", "\u0002"
 MARKS = f"[{OPEN}{CLOSE}]"
-#: Texts that can hold a card number: thirteen digits with at most three characters between two; nothing is tried twice.
-_CARD_GUARD = r"[0-9](?:[ \x{a0}./-]{0,3}+[0-9]){12}"
+_CARD_GUARD = r"[0-9][0-9 \x{a0}./-]{11,}[0-9]"
 #: Every entropy keyword holds one of these; the two letters that fold to s and k may stand in one as well.
 _FOLDED = ("\u017f", "\u212a")
 
@@ -46,15 +45,19 @@ def _may_have_keyword(text: Column) -> Column:
 ENTROPY_RULE = Rule(entropy.FLAG, "secrets", "medium", (), "warn")
 
 
-def required_literal(pattern: str) -> str | None:
-    """D3: text that every match holds for sure, None where that is not plain. A guard, never a filter of its own."""
-    literals = {r"\bsk-": "sk-", r"\bAKIA": "AKIA", r"\bBearer": "Bearer", r"\bgh[": "gh", r"\bAIza": "AIza", r"\bxox[": "xox", "-----BEGIN": "-----BEGIN"}
-    for start, literal in literals.items():
-        if pattern.startswith(start):
-            return literal
-    if pattern.count("@") == 1 and "|" not in pattern and "?" not in pattern[max(0, pattern.index("@") - 1) : pattern.index("@") + 2]:
-        return "@"
-    return None
+def _java_class(run: str) -> str:
+    """A run of a guard for the JVM: only the class's escapes differ."""
+    return run.replace("\\ ", " ")
+
+
+def _may_match(text: Column, pattern: str) -> Column:
+    """A necessary condition of a match."""
+    guard = guard_of(pattern)
+    if guard.run is not None and not (guard.literals and min(map(len, guard.literals)) > 1):
+        return text.rlike(_java_class(guard.run))
+    if guard.literals is None:
+        return F.lit(True)
+    return reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in guard.literals))
 
 
 def _spans(text: Column, number: int, phase: int, pattern: str, keywords: tuple[str, ...], near: Column | None) -> Column:
@@ -95,8 +98,7 @@ def _spans(text: Column, number: int, phase: int, pattern: str, keywords: tuple[
     # One-element arrays bind the pieces and their starts: a lambda's variable is computed once.
     paired = F.transform(F.array(pieces), lambda p: F.struct(p.alias("p"), starts(p).alias("starts")))
     built = F.get(F.transform(paired, build), F.lit(0))
-    literal = required_literal(pattern)
-    can = F.contains(text, F.lit(literal)) if literal else F.lit(True)
+    can = _may_match(text, pattern)
     if keywords:
         lower = F.lower(text if near is None else near)
         folds = [F.contains(text if near is None else near, F.lit(c)) for c in _FOLDED]
@@ -104,35 +106,60 @@ def _spans(text: Column, number: int, phase: int, pattern: str, keywords: tuple[
     return F.when(can & text.rlike(java), built).otherwise(F.array().cast(SPAN))
 
 
+class _Search:
+    """One pattern with its guard, compiled once for each task."""
+
+    def __init__(self, number: int, rule: Rule, pattern: str) -> None:
+        guard = guard_of(pattern)
+        self.number, self.phase, self.pattern = number, _phase(pattern), python_pattern(pattern)
+        self.keywords = tuple(k for k in rule.context_keywords if k)
+        #: A single character says little; a run of few characters says more.
+        telling = guard.literals is not None and (guard.run is None or min(map(len, guard.literals)) > 1)
+        self.literals = guard.literals if telling else None
+        self.run = None if telling or guard.run is None else guard.run
+
+    def spans(self, text: str, runs: dict[str, list[tuple[int, int]]]) -> Iterator[tuple[int, int]]:
+        if self.literals is not None and not any(x in text for x in self.literals):
+            return
+        if self.run is None:
+            yield from (m.span() for m in self.pattern.finditer(text))
+            return
+        if self.run not in runs:
+            runs[self.run] = [m.span() for m in _run(self.run).finditer(text)]
+        for a, z in runs[self.run]:
+            # One character more: what looks around a match looks at one at most.
+            yield from (m.span() for m in self.pattern.finditer(text, a, min(len(text), z + 1)))
+
+
+@lru_cache(maxsize=256)
+def _run(pattern: str) -> re.Pattern:
+    return re.compile(pattern)
+
+
 class Scanner:
     """The sequential scan of one text after another; patterns are compiled once for each task."""
 
     def __init__(self, rules: list[Rule], cards: int | None, entropy_rule: int | None, threshold: float) -> None:
         self.rules, self.cards, self.entropy_rule, self.threshold = rules, cards, entropy_rule, threshold
-        self.patterns = [
-            (i, _phase(rule, p), required_literal(p), tuple(k for k in rule.context_keywords if k), python_pattern(p))
-            for i, rule in enumerate(rules) if i != cards for p in rule.patterns
-        ]
+        self.searches = [_Search(i, rule, p) for i, rule in enumerate(rules) if i != cards for p in rule.patterns]
 
-    def spans(self, text: str, everything: bool = True, near: str | None = None) -> list[dict]:
-        """Spans with byte offsets; ``everything``: those of the patterns too, not only cards and entropy.
+    def spans(self, text: str, everything: bool = True, near: str | None = None) -> list[tuple]:
+        """Spans with byte offsets, as rows of SPAN; ``everything``: those of the patterns too, not only cards and entropy.
 
         ``near`` is the text that context keywords are looked for in, the text itself by default; a
         rule none of whose keywords stands there is not tried.
         """
         found: list[tuple[int, int, int, int]] = []
         if everything:
-            lower = None
-            for number, phase, literal, keywords, pattern in self.patterns:
-                if literal is not None and literal not in text:
-                    continue
-                if keywords:
+            lower, runs = None, {}
+            for search in self.searches:
+                if search.keywords:
                     around = text if near is None else near
                     lower = around.lower() if lower is None else lower
-                    if not any(k in lower for k in keywords) and not any(c in around for c in _FOLDED):
+                    if not any(k in lower for k in search.keywords) and not any(c in around for c in _FOLDED):
                         continue
-                found += [(number, phase, *m.span()) for m in pattern.finditer(text)]
-        if self.cards is not None and _CARD_LOOK.search(text):
+                found += [(search.number, search.phase, a, z) for a, z in search.spans(text, runs)]
+        if self.cards is not None:
             found += [(self.cards, 2, a, z) for a, z in card_spans(text)]
         if self.entropy_rule is not None:
             found += [(self.entropy_rule, 4, a, z) for a, z in entropy.entropy_spans(text, self.threshold)]
@@ -145,7 +172,7 @@ class Scanner:
             if number < len(self.rules) and self.rules[number].context_keywords:
                 end = text.find("\n", z)
                 line = text[text.rfind("\n", 0, a) + 1 : end if end >= 0 else len(text)]
-            out.append({"rule": number, "phase": phase, "start": bytes_at.get(a, a), "end": bytes_at.get(z, z), "value": text[a:z], "line": line})
+            out.append((number, phase, bytes_at.get(a, a), bytes_at.get(z, z), text[a:z], line))
         return out
 
 
@@ -159,16 +186,19 @@ def _byte_offsets(text: str, places: set[int]) -> dict[int, int]:
     return out
 
 
-def python_spans(text: str, rules: list[Rule], cards: int | None, entropy_rule: int | None, threshold: float, everything: bool) -> list[dict]:
-    """Spans of one text by the sequential scan."""
+def python_spans(text: str, rules: list[Rule], cards: int | None, entropy_rule: int | None, threshold: float, everything: bool) -> list[tuple]:
+    """Spans of one text by the sequential scan, as rows of SPAN."""
     return Scanner(rules, cards, entropy_rule, threshold).spans(text, everything)
 
 
-def _phase(rule: Rule, pattern: str) -> int:
-    """Order in which the scan reports: prefixed patterns, others, cards, multi-line ones, entropy."""
+_PREFIX = re.compile(r"(?:\\[bB])*(?:[^\\()\[\].?*+|^${}]|\\[^A-Za-z0-9]){2}")
+
+
+def _phase(pattern: str) -> int:
+    """Order in which the scan reports: patterns that begin with two letters or more, others, cards, multi-line ones, entropy."""
     if is_multiline(pattern):
         return 3
-    return 0 if required_literal(pattern) not in (None, "@") else 1
+    return 0 if _PREFIX.match(pattern) else 1
 
 
 def _card_rule(rules: list[Rule]) -> int | None:
@@ -192,13 +222,35 @@ def _arrow_spans(base: DataFrame, ids: list[str], rules: list[Rule], entropy_thr
                     spans = scanner.spans(text, near=(nears[i] or "") if context else None)
                     at += [i] * len(spans)
                     found += spans
-            take = pa.array(np.array(at, np.int64))
+            take, columns = pa.array(np.array(at, np.int64)), list(zip(*found, strict=True)) or [()] * len(_SPAN_FIELDS)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(i).take(take) for i in range(len(kept))), *(pa.array([f[n] for f in found], t) for n, t in _SPAN_FIELDS.items())], names=[*kept, *_SPAN_FIELDS]
+                [*(batch.column(i).take(take) for i in range(len(kept))), *(pa.array(c, t) for c, t in zip(columns, _SPAN_FIELDS.values(), strict=True))], names=[*kept, *_SPAN_FIELDS]
             )
 
     fields = ", ".join(f"`{c}` {kinds[c]}" for c in kept) + ", rule int, phase int, start int, `end` int, value string, line string"
-    return base.select(*kept, "__text").mapInArrow(work, fields)
+    # Texts that can hold no finding never leave the JVM.
+    some = base.where(_may_hold(F.col("__text"), rules, cards, entropy_threshold, F.col("__context") if context else None))
+    return some.select(*kept, "__text").mapInArrow(work, fields)
+
+
+def _may_hold(text: Column, rules: list[Rule], cards: int | None, threshold: float | None, near: Column | None) -> Column:
+    """A necessary condition of any span, cheap parts first."""
+    lower = F.lower(text if near is None else near)
+    parts: list[Column] = []
+    for i, rule in enumerate(rules):
+        if i == cards:
+            parts.append(text.rlike(_CARD_GUARD))
+            continue
+        for pattern in rule.patterns:
+            can = _may_match(text, pattern)
+            words = [F.contains(lower, F.lit(k)) for k in rule.context_keywords if k]
+            if words:
+                folded = [F.contains(text if near is None else near, F.lit(c)) for c in _FOLDED]
+                can = can & reduce(lambda a, b: a | b, [*words, *folded])
+            parts.append(can)
+    if threshold is not None:
+        parts.append(_may_have_keyword(text) & text.rlike(entropy.long_run(threshold)))
+    return reduce(lambda a, b: a | b, parts) if parts else F.lit(False)
 
 
 def spans_column(text: Column, rules: list[Rule], entropy_threshold: float | None, near: Column | None = None) -> Column:
@@ -207,7 +259,7 @@ def spans_column(text: Column, rules: list[Rule], entropy_threshold: float | Non
     ``near``: the column that keywords are looked for in, if it is not the match's own lines.
     """
     cards = _card_rule(rules)
-    native = [_spans(text, i, _phase(rule, p), p, rule.context_keywords, near) for i, rule in enumerate(rules) if i != cards for p in rule.patterns]
+    native = [_spans(text, i, _phase(p), p, rule.context_keywords, near) for i, rule in enumerate(rules) if i != cards for p in rule.patterns]
     entropy_rule = len(rules) if entropy_threshold is not None else None
 
     @F.pandas_udf(SPAN)

@@ -6,13 +6,15 @@ import json
 import random
 
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from duskveil.functions import hashing, text, validators
 from duskveil.operators import audit, decode, entropy, evaluation, redact, structured
 from duskveil.operators.cards import card_spans, card_valid
-from duskveil.operators.rules import DEFAULT_RULES, Policy, Rule, check_rules, parse_rules, rules_frame, rules_from_frame
-from duskveil.operators.scan import first_match, overall_action, python_spans, scan, spans_column
+from duskveil.operators.rules import DEFAULT_RULES, Policy, Rule, check_rules, parse_rules, python_pattern, rules_frame, rules_from_frame
+from duskveil.operators.scan import _Search, first_match, overall_action, python_spans, scan, spans_column
 from duskveil.sources.packs import Pack, Registry
 
 TOKEN = "sk-" + "a1B2" * 6
@@ -57,7 +59,7 @@ def test_native_spans_equal_sequential_ones(spark):
     rules = check_rules(DEFAULT_RULES)
     df = spark.createDataFrame(rows, "id int, text string")
     got = {tuple(r) for r in df.select("id", F.explode(spans_column(F.col("text"), rules, 4.0)).alias("s")).select("id", "s.rule", "s.start", "s.end", "s.value").collect()}
-    want = {(i, s["rule"], s["start"], s["end"], s["value"]) for i, t in rows if t for s in python_spans(t, rules, 9, len(rules), 4.0, True)}
+    want = {(i, s[0], *s[2:5]) for i, t in rows if t for s in python_spans(t, rules, 9, len(rules), 4.0, True)}
     assert got == want
     for i, _, a, z, v in got:
         assert dict(rows)[i].encode()[a:z].decode() == v
@@ -131,6 +133,37 @@ def test_long_runs_against_brute_force():
             assert len(got) == want[0][3], run
 
 
+GUARDED = [
+    r"\bsk-[a-z]{5}|\bpk-[a-z]{5}", r"\bBearer\b|\bToken\s+\w+", r"\bBearer?\b", r"\bAKIA|ASIA[0-9]{3}", r"-----BEGIN X|ssh-rsa \w+", r"(?:ab)+c?", r"(?i)token", r"x*", r"[^a]bc", r"(?:x|)abc", r"a{2,}b", r"(?:sk|pk)_(?:live|test)", r"\b[0-9]{3}[ .-][0-9]{4}\b",
+    r"(?-u)\b[1-9][0-9]{4,}\b", r"(?:\+[0-9]{2,}|[0-9]{3}-)[0-9]+", r"(?=a)abc", r"abc(?!d)", r"(?<!x)abc$", r"a[bc]d", r"(a|b)(c|d){2}",
+]
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.sampled_from(GUARDED), st.lists(st.sampled_from(["sk-", "pk-", "abcde", "Bearer", "Beare", "Token x", "AKIA", "ASIA123", "-----BEGIN X", "ssh-rsa k", "ab", "c", "TOKEN", "x", "a", "bc", "_live", "_test", "sk", "555", "-", " ", ".", "1234", "+", "\n", "d", "é", "x55555"]), max_size=9).map("".join))
+def test_guards_lose_nothing(pattern, value):
+    """With and without its guard a pattern has the same matches."""
+    rule = Rule("t", "secrets", "high", (pattern,))
+    want = [m.span() for m in python_pattern(pattern).finditer(value)]
+    assert list(_Search(0, rule, pattern).spans(value, {})) == want
+
+
+def test_values_need_a_long_run():
+    """The look for long runs loses no value, whatever the threshold."""
+    rng = random.Random(5)
+    for _ in range(3000):
+        t = "".join(rng.choice(["token", "=", ":", " ", "\n", "aB3$dE6&gH9!jK2@mN5", "key", "xyz", "é" * 60, "(", '"', "0123456789abcdefg", "auth:", "q" * 70, "ſecret ", "a1b2"]) for _ in range(rng.randrange(1, 14)))
+        for threshold in (0.5, 3.0, 4.0):
+            ends = [m.end() for m in entropy._KEYWORD.finditer(t)]
+            want = {}
+            for end in ends:
+                window = t[end : end + 200].encode()[:200].decode("utf-8", "ignore")
+                span = entropy.value_after(window)
+                if span and len(window[slice(*span)].encode()) >= 8 and entropy.entropy(window[slice(*span)]) > threshold and window[slice(*span)] not in entropy.SAFE_EXAMPLES:
+                    want[(end + span[0], end + span[1])] = None
+            assert entropy.entropy_spans(t, threshold) == list(want), t
+
+
 def test_entropy():
     assert entropy.entropy("") == 0 and entropy.entropy("aaaa") == 0 and entropy.entropy("ab") == 1
     t = "key token=aB3$dE6&gH9!jK2@mN5)."
