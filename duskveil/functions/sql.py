@@ -25,9 +25,8 @@ def register(spark: SparkSession, rules: list[Rule] | None = None) -> None:
     class ScanText:
         def eval(self, text: str):
             if text:
-                for s in python_spans(text, checked, cards, len(checked), entropy.DEFAULT_THRESHOLD, True):
-                    flag = checked[s["rule"]].flag if s["rule"] < len(checked) else entropy.FLAG
-                    yield flag, s["start"], s["end"], s["value"]
+                for rule, _, start, end, value, _ in python_spans(text, checked, cards, len(checked), entropy.DEFAULT_THRESHOLD, True):
+                    yield checked[rule].flag if rule < len(checked) else entropy.FLAG, start, end, value
 
     spark.udtf.register("scan_text", ScanText)
     spark.udf.register("text_entropy", F.pandas_udf(lambda s: s.map(lambda t: None if t is None else entropy.entropy(t)), "double"))

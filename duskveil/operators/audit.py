@@ -71,17 +71,34 @@ def gate(events: DataFrame, allow_legacy: bool = False) -> tuple[DataFrame, Data
     return events.where(ok), events.where(~ok)
 
 
-def append_events(events: DataFrame, path: str, allow_legacy: bool = False) -> None:
-    """K1-K4: writes events that pass the gate and whose id is new; an id twice among the new ones counts once. The commit is Spark's."""
+def append_outcomes(events: DataFrame, stored: DataFrame | None = None, allow_legacy: bool = False) -> DataFrame:
+    """K1-K3: adds ``outcome``: ``written``, ``rejected-unkeyed`` or ``duplicate-id``.
+
+    The first event of an id (by time, then content) among the new ones is written unless ``stored`` has the id; all others of that
+    id are duplicates. Events that the gate rejects take no id. A null id is an error of its own: it counts as a duplicate.
+    """
+    marked = events.withColumn("__ok", writable(F.col("hashed_values"), allow_legacy))
+    order = Window.partitionBy("id", "__ok").orderBy(*([F.asc_nulls_last("ts_unix")] if "ts_unix" in events.columns else []), F.xxhash64(F.to_json(F.struct(*events.columns))))
+    marked = marked.withColumn("__n", F.row_number().over(order))
+    if stored is not None:
+        marked = marked.join(stored.select(F.col("id").alias("__old")).where("__old is not null").distinct(), F.col("id") == F.col("__old"), "left")
+    taken = F.col("id").isNull() | (F.col("__n") > 1) | (F.col("__old").isNotNull() if stored is not None else F.lit(False))
+    outcome = F.when(~F.col("__ok"), "rejected-unkeyed").when(taken, "duplicate-id").otherwise("written")
+    return marked.select(*events.columns, outcome.alias("outcome"))
+
+
+def append_events(events: DataFrame, path: str, allow_legacy: bool = False) -> dict[str, int]:
+    """K1-K4: writes the events whose outcome is ``written`` to the table at ``path``; how many events had each outcome.
+
+    The counts name what the reference surfaces as drops and errors. The commit is Spark's, so nothing is left to flush or close.
+    """
     spark = events.sparkSession
-    good, _ = gate(events, allow_legacy)
-    good = good.dropDuplicates(["id"])
-    try:
-        old = spark.read.parquet(path).select("id")
-    except Exception:  # noqa: BLE001 - no table yet
-        old = None
-    fresh = good if old is None else good.join(old, "id", "left_anti")
-    fresh.write.mode("append").parquet(path)
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    exists = place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+    done = append_outcomes(events, spark.read.parquet(path) if exists else None, allow_legacy)
+    counts = {r["outcome"]: r["n"] for r in done.groupBy("outcome").agg(F.count(F.lit(1)).alias("n")).collect()}
+    done.where("outcome = 'written'").drop("outcome").write.mode("append").parquet(path)
+    return counts
 
 
 def retained(events: DataFrame, now: int, days: int = RETENTION_DAYS) -> DataFrame:
@@ -119,8 +136,12 @@ def recent_filtered(events: DataFrame, provider: str | None = None, tool: str |
 
 
 def top_flags(events: DataFrame, by: list[str], k: int = TOP_FLAGS) -> DataFrame:
-    """A1, O2: the ``k`` flags with most findings of each group (summed ``counts``), ties by name: ``by, flag, n, place``."""
-    summed = events.select(*by, F.explode("counts").alias("flag", "v")).groupBy(*by, "flag").agg(F.sum(F.coalesce("v", F.lit(0))).alias("n"))
+    """A1, O2: the ``k`` flags with most findings of each group (summed ``counts``, a map or its entries), ties by name: ``by, flag, n, place``."""
+    entries = F.col("counts") if dict(events.dtypes)["counts"].startswith("array") else F.map_entries("counts")
+    summed = events.select(*by, F.explode(entries).alias("e")).select(*by, F.col("e.key").alias("flag"), F.col("e.value").alias("v")).groupBy(*by, "flag").agg(F.sum(F.coalesce("v", F.lit(0))).alias("n"))
+    if not by:
+        # The first of each task, then the first of these: no task sorts all flags.
+        summed = summed.orderBy(F.desc("n"), F.asc("flag")).limit(k)
     order = Window.partitionBy(*by).orderBy(F.desc("n"), F.asc("flag"))
     return summed.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k)
 
@@ -136,21 +157,17 @@ def stats_by(events: DataFrame, name: str) -> DataFrame:
 
 
 def summary(events: DataFrame) -> DataFrame:
-    """One row: total, totals by provider, tool and action as maps, top flags as an array; zeros and empties for no events."""
-    spark = events.sparkSession
+    """``kind, name, n``: the total, the events of each provider, tool and action, and the findings of the flags most often found.
 
-    def counted(name: str) -> DataFrame:
-        per = events.where(F.col(name).isNotNull()).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
-        return per.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(name, "n")))).alias(f"by_{name}")).withColumn("k", F.lit(1))
-
-    total = events.agg(F.count(F.lit(1)).alias("total")).withColumn("k", F.lit(1))
-    summed = events.select(F.explode("counts").alias("flag", "v")).groupBy("flag").agg(F.sum(F.coalesce("v", F.lit(0))).alias("n"))
-    top = summed.orderBy(F.desc("n"), F.asc("flag")).limit(TOP_FLAGS)
-    flags = top.agg(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("m"), "flag"))).alias("s")).select(F.transform("s", lambda x: F.struct(x["flag"].alias("flag"), (-x["m"]).alias("n"))).alias("top_flags")).withColumn("k", F.lit(1))
-    out = spark.range(1).select(F.lit(1).alias("k"))
-    for part in (total, counted("provider"), counted("tool"), counted("action_taken"), flags):
-        out = out.join(part, "k", "left")
-    return out.drop("k")
+    One pass counts all kinds; a row for each name, as tools grow with the installations. Without events the total is 0.
+    """
+    names = ("provider", "tool", "action_taken")
+    kinds = F.array(F.struct(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("name")), *(F.struct(F.lit(n).alias("kind"), F.col(n).alias("name")) for n in names))
+    counted = events.select(F.explode(kinds).alias("k")).where("k.kind = 'total' or k.name is not null").groupBy("k").agg(F.count(F.lit(1)).alias("n")).select("k.kind", "k.name", "n")
+    zero = events.sparkSession.range(1).select(F.lit("total").alias("kind"), F.lit(None).cast("string").alias("name"), F.lit(0).cast("bigint").alias("n"))
+    total = counted.unionByName(zero).groupBy("kind", "name").agg(F.sum("n").alias("n"))
+    flags = top_flags(events, []).select(F.lit("flag").alias("kind"), F.col("flag").alias("name"), "n")
+    return total.unionByName(flags)
 
 
 def interventions(events: DataFrame, after: int | None = None) -> DataFrame:

@@ -20,49 +20,47 @@ def decide(df: DataFrame) -> DataFrame:
     enforce), ``fail_policy``, ``bypass`` (null, ``bypass`` or ``break-glass``), ``decode_failed``,
     ``redact_failed``, ``binary_parts`` and ``too_large``. Null flags count as false, a null overall
     as allow, a null mode as enforce.
+
+    A bypass lets a request through that would be blocked; it marks the event of a request with
+    findings only, and no event is made for it alone. A request that is rejected because it can't be
+    redacted is no bypass. A request that passes although it could not be decoded is ``fail-open`` only
+    if it has no findings, otherwise its findings name the action.
     """
     overall = F.coalesce("overall", F.lit("allow"))
-    shadow = F.coalesce(F.col("mode") == "shadow", F.lit(False))
+    enforce = ~F.coalesce(F.col("mode") == "shadow", F.lit(False))
+    found = F.coalesce("n_findings", F.lit(0)) > 0
     by_pass = F.col("bypass").isNotNull()
     undecoded = F.coalesce("decode_failed", F.lit(False))
-    passes = fail_allows(F.col("fail_policy"), F.col("has_critical"))
-    unredacted = ~shadow & (overall == "redact") & F.coalesce("redact_failed", F.lit(False))
-    too_large = F.coalesce("too_large", F.lit(False))
-    blocked = ~shadow & (overall == "block") & ~by_pass
+    unredacted = enforce & (overall == "redact") & F.coalesce("redact_failed", F.lit(False))
     outcome = (
-        F.when(too_large, "too-large")
-        .when(undecoded & (F.coalesce(F.col("fail_policy"), F.lit("")) != "open"), "reject-undecoded")
-        .when(undecoded, "forward")
-        .when(blocked, "block")
-        .when(unredacted & ~passes, "reject-unredacted")
-        .when(unredacted, "forward")
-        .when(~shadow & (overall == "redact"), "forward-redacted")
+        F.when(F.coalesce("too_large", F.lit(False)), "too-large")
+        .when(undecoded & ~F.coalesce(F.col("fail_policy") == "open", F.lit(False)), "reject-undecoded")
+        .when(enforce & (overall == "block") & ~by_pass, "block")
+        .when(unredacted & ~fail_allows(F.col("fail_policy"), F.col("has_critical")), "reject-unredacted")
+        .when(enforce & (overall == "redact") & ~unredacted, "forward-redacted")
         .otherwise("forward")
     )
-    found = F.coalesce("n_findings", F.lit(0)) > 0
+    passed = F.col("outcome").startswith("forward")
+    rejected = F.col("outcome").startswith("reject")
     action = (
-        F.when(undecoded & (F.col("fail_policy") == "open"), "fail-open")
-        .when(undecoded, "fail-closed")
-        .when(unredacted & passes, "fail-open")
-        .when(unredacted, "fail-closed")
-        .when(by_pass & found & (overall == "block"), "bypass")
-        .otherwise(overall)
-    )
-    flags = F.array_compact(
-        F.array(
-            F.when(shadow & found, "shadow"), F.when(F.coalesce("binary_parts", F.lit(0)) > 0, "binary-unscanned"), F.when(undecoded, "decode-failed"),
-            F.when(unredacted, "redact-failed"), F.when(by_pass, "bypass"), F.when(F.col("bypass") == "break-glass", "break-glass"),
-        )
+        F.when(rejected, "fail-closed")
+        .when(passed & unredacted, "fail-open")
+        .when(passed & by_pass & found, "bypass")
+        .when(passed & undecoded & ~found, "fail-open")
+        .otherwise(F.when(found, overall).otherwise("allow"))
     )
-    # A blocked request's event carries no outcome flags.
-    flags = F.when(F.col("outcome") == "block", F.array().cast("array<string>")).otherwise(flags)
+    scanned = passed | (F.col("outcome") == "reject-unredacted")
+    marks = [
+        ("bypass", passed & by_pass & found), ("break-glass", passed & found & (F.col("bypass") == "break-glass")), ("decode-failed", (scanned | rejected) & undecoded),
+        ("shadow", scanned & ~enforce & found), ("binary-unscanned", scanned & (F.coalesce("binary_parts", F.lit(0)) > 0)), ("redact-failed", scanned & unredacted),
+    ]
     return (
         df.withColumn("outcome", outcome)
         .withColumn("forwarded", F.when(F.col("outcome") == "forward", "original").when(F.col("outcome") == "forward-redacted", "redacted").otherwise("none"))
-        .withColumn("http_status", F.when(F.col("outcome") == "too-large", 413).when(F.col("outcome") == "block", 403).when(F.col("outcome").startswith("reject"), 502).otherwise(200))
+        .withColumn("http_status", F.when(F.col("outcome") == "too-large", 413).when(F.col("outcome") == "block", 403).when(rejected, 502).otherwise(200))
         .withColumn("action_taken", action)
-        .withColumn("audit_flags", flags)
-        .withColumn("has_event", (found | (F.size("audit_flags") > 0)) & (F.col("outcome") != "too-large"))
+        .withColumn("audit_flags", F.array_compact(F.array(*(F.when(holds, F.lit(name)) for name, holds in marks))))
+        .withColumn("has_event", (F.col("outcome") != "too-large") & (rejected | found | (F.size("audit_flags") > 0)))
     )
 
 

@@ -180,8 +180,15 @@ def leaves(df: DataFrame, ids: list[str], body: str) -> DataFrame:
 
 
 def adapted_text(body: Column) -> Column:
-    """Text of the known request forms: ``messages[].content`` that are strings, else ``prompt``; null for others."""
-    chat = F.from_json(body, "struct<messages:array<struct<content:string>>>")["messages"]
-    contents = F.filter(F.transform(chat, lambda m: m["content"]), lambda c: c.isNotNull() & ~c.rlike(r"\A[\[{]"))
-    prompt = F.get_json_object(body, "$.prompt")
-    return F.when(F.size(contents) > 0, F.array_join(contents, " ")).otherwise(F.nullif(prompt, F.lit("")))
+    """Text of the known request forms: every ``messages[].content`` that is a string, then ``prompt`` if it is one, joined by a blank; null where there is none.
+
+    Types are looked at in the parsed body: a content that only looks like a list is a string, parts and numbers are none.
+    """
+    tree = F.try_parse_json(body)
+
+    def string_of(value: Column, path: str) -> Column:
+        return F.when(F.schema_of_variant(F.try_variant_get(value, path, "variant")) == "STRING", F.try_variant_get(value, path, "string"))
+
+    messages = F.coalesce(F.try_variant_get(tree, "$.messages", "array<variant>"), F.array().cast("array<variant>"))
+    texts = F.filter(F.concat(F.transform(messages, lambda m: string_of(m, "$.content")), F.array(string_of(tree, "$.prompt"))), lambda t: t.isNotNull())
+    return F.when(F.size(texts) > 0, F.array_join(texts, " "))

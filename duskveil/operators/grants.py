@@ -12,8 +12,8 @@ def redeem(grants: DataFrame, attempts: DataFrame) -> DataFrame:
     """C11: result of every attempt: ``granted, unknown-nonce, expired`` or ``scope-mismatch``.
 
     ``grants``: ``nonce, scope`` (a provider or ``*``), ``issued_at, ttl_s``; ``attempts``: ``nonce,
-    provider, at``. Times are epoch seconds. A grant works once; a mismatch does not use it up,
-    expiry does. Attempts of one nonce are taken in the order of time; a nonce is random, so groups
+    provider, at``. Times are epoch seconds. A grant works once and until its
+    last second begins; a mismatch does not use it up, expiry does. Attempts of one nonce are taken in the order of time; a nonce is random, so groups
     are small. Null nonces are unknown.
     """
     fields = "nonce string, provider string, at bigint, result string"
@@ -27,7 +27,7 @@ def redeem(grants: DataFrame, attempts: DataFrame) -> DataFrame:
         for row in tried.sort_values(["at", "provider"]).itertuples():
             if open_grant is None:
                 result = "unknown-nonce"
-            elif row.at > open_grant[1]:
+            elif row.at >= open_grant[1]:
                 result, open_grant = "expired", None
             elif open_grant[0] not in ("*", row.provider):
                 result = "scope-mismatch"

@@ -30,7 +30,10 @@ def resolved(spans: list[dict]) -> list[dict]:
 def token(flag: str, size: int, template: str = TEMPLATE, preserve_length: bool = False) -> str:
     """Replacement text; with ``preserve_length`` exactly ``size`` bytes."""
     text = template.replace("{flag}", flag)
-    return text[:size].ljust(size, "*") if preserve_length else text
+    if not preserve_length:
+        return text
+    cut = text.encode()[:size].decode("utf-8", "ignore")
+    return cut + "*" * (size - len(cut.encode()))
 
 
 def redact_text(text: str, spans: list[dict], template: str = TEMPLATE, preserve_length: bool = False, make=None) -> tuple[str | None, str | None]:

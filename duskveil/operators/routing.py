@@ -9,13 +9,14 @@ from ..functions.text import provider_of_path, url_host
 
 
 def route(requests: DataFrame, path: str, upstreams: DataFrame) -> DataFrame:
-    """Adds ``upstream``: that of the longest prefix of the path (ties by name), else the built-in provider, else ``default`` if there is such an upstream, else ``unknown``.
+    """Adds ``upstream``: that of the longest prefix of the path (ties by name), else the built-in provider if there is an upstream of that name, else ``default`` if there is such an upstream, else ``unknown``.
 
-    Every prefix of a path that ends with ``/`` (or is the path) is looked up by an equi-join, not
-    by comparing all paths with all prefixes. Distinct paths are routed once. A prefix that does not
-    end with ``/`` is matched at any place: its lengths are taken from the upstreams, a small list.
+    The upstreams are a configuration, a small list: the lengths of their prefixes and their names are
+    collected. Each distinct path is cut at these lengths and looked up by an equi-join, not compared
+    with all prefixes. A null path has no prefix and no built-in provider.
     """
-    lengths = sorted({r["n"] for r in upstreams.select(F.length("path_prefix").alias("n")).where("n > 0").distinct().collect()})
+    rows = upstreams.select("name", F.length("path_prefix").alias("n")).distinct().collect()
+    lengths, names = sorted({r["n"] for r in rows if r["n"]}), sorted({r["name"] for r in rows if r["name"] is not None})
     known = upstreams.where(F.length("path_prefix") > 0).groupBy("path_prefix").agg(F.min("name").alias("name"))
     paths = requests.select(F.col(path).alias("__p")).where("__p is not null").distinct()
     tries = paths.select("__p", F.explode(F.array(*(F.lit(n) for n in lengths)) if lengths else F.array().cast("array<int>")).alias("n")).where(F.col("n") <= F.length("__p"))
@@ -25,9 +26,8 @@ def route(requests: DataFrame, path: str, upstreams: DataFrame) -> DataFrame:
         .groupBy("__p")
         .agg(F.max_by("name", F.col("n")).alias("__best"))
     )
-    has_default = upstreams.where("name = 'default'").limit(1).count() > 0
     builtin = provider_of_path(F.col(path))
-    rest = F.when(builtin != "unknown", builtin).otherwise(F.lit("default" if has_default else "unknown"))
+    rest = F.when(builtin.isin(names), builtin).otherwise(F.lit("default" if "default" in names else "unknown"))
     return requests.join(best, requests[path] == best["__p"], "left").withColumn("upstream", F.coalesce("__best", rest)).drop("__p", "__best")
 
 

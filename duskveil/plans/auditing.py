@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text
-from ..functions.cleaning import clean, event_seconds
+from ..functions.cleaning import EVENT_SECONDS_SQL, clean, clean_sql, event_seconds
 from ..operators import audit, decision, grants, routing
+from ..operators.dedup import latest_per_key
 from ..session import Stage, read_table
 from ..streaming.audit_stream import counted_windows
 
@@ -16,7 +17,16 @@ NOW = 1_745_884_800
 
 
 def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "audit_events")
+    """The events: of each id the delivery that came last, names cleaned, a time in seconds, counts by cleaned flag."""
+    entries = F.array_sort(F.map_entries("counts"))
+    events = latest_per_key(
+        read_table(spark, sf_dir, "audit_events"), "id", "received_at",
+        {
+            "provider": F.coalesce(clean(F.col("provider")), F.lit("unknown")), "tool": clean(F.col("tool")), "action_taken": clean(F.col("action_taken")), "mode": clean(F.col("mode")),
+            "ts_unix": event_seconds(F.col("ts_unix"), F.col("ts")), "entries": F.transform(entries, lambda e: F.struct(clean(e["key"]).alias("key"), e["value"].alias("value"))),
+        },
+    )
+    return events.withColumnRenamed("entries", "counts")
 
 
 def stats_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,8 +35,9 @@ def stats_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_by_tool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = audit.stats_by(_events(spark, sf_dir), "tool")
-    return s.select("tool", "total", F.size("by_action").alias("n_actions"))
+    s = audit.stats_by(_events(spark, sf_dir).where("tool is not null"), "tool")
+    actions = F.array_join(F.transform(F.map_entries("by_action"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
+    return s.select("tool", "total", actions.alias("actions"))
 
 
 def top_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,19 +49,18 @@ def top_flags_by_provider(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stats_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = audit.summary(_events(spark, sf_dir))
-    return s.select("total", F.size("by_provider").alias("n_providers"), F.size("by_tool").alias("n_tools"), F.size("by_action_taken").alias("n_actions"), F.col("top_flags")[0]["flag"].alias("top_flag"), F.col("top_flags")[0]["n"].alias("top_n"))
+    """Totals of each kind and name, with the flags most often found."""
+    return audit.summary(_events(spark, sf_dir))
 
 
 def recent_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The newest events; the limit is the feature. Copies of a row count once."""
-    return audit.recent(_events(spark, sf_dir).where("ts_unix is not null").groupBy("id").agg(F.max("ts_unix").alias("ts_unix")), 100)
+    """The newest events; the limit is the feature."""
+    return audit.recent(_events(spark, sf_dir).where("ts_unix is not null").select("id", "ts_unix"), 100)
 
 
 def recent_openai(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Filters after the newest events were taken."""
-    e = _events(spark, sf_dir).where("ts_unix is not null").groupBy("id").agg(F.max(F.struct("ts_unix", "provider")).alias("x")).select("id", "x.ts_unix", "x.provider")
-    return audit.recent_filtered(e, provider="openai", n=1000).select("id", "ts_unix", "provider")
+    return audit.recent_filtered(_events(spark, sf_dir).where("ts_unix is not null").select("id", "ts_unix", "provider"), provider="openai", n=1000)
 
 
 def events_since(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,7 +70,7 @@ def events_since(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def events_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Union of two sources of events by id, memory first."""
-    e = _events(spark, sf_dir).where("ts_unix is not null").groupBy("id").agg(F.max("ts_unix").alias("ts_unix"), F.max("mode").alias("mode"))
+    e = _events(spark, sf_dir).where("ts_unix is not null").select("id", "ts_unix", "mode")
     memory = e.where("mode = 'api'").withColumn("mode", F.lit("memory"))
     return audit.snapshot(memory, e, 500)
 
@@ -71,14 +81,14 @@ def retention_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def write_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events by whether all their hashes are keyed; hashes of ids that end with 0 are made plain here."""
-    e = _events(spark, sf_dir).select("id", F.when(F.col("id").endswith("0"), F.transform("hashed_values", lambda h: F.replace(h, F.lit("hmac:"), F.lit("sha256:")))).otherwise(F.col("hashed_values")).alias("hashed_values"))
+    e = read_table(spark, sf_dir, "audit_events").select("id", F.when(F.col("id").endswith("0"), F.transform("hashed_values", lambda h: F.replace(h, F.lit("hmac:"), F.lit("sha256:")))).otherwise(F.col("hashed_values")).alias("hashed_values"))
     ok, rejected = audit.gate(e)
     return ok.select(F.lit("written").alias("outcome")).unionByName(rejected.select(F.lit("rejected").alias("outcome"))).groupBy("outcome").agg(F.count(F.lit(1)).alias("n"))
 
 
 def interventions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events that touched a request, one for each second."""
-    return audit.interventions(_events(spark, sf_dir).where("ts_unix is not null")).select("ts_unix", "id").distinct()
+    return audit.interventions(_events(spark, sf_dir).where("ts_unix is not null")).select("ts_unix", "id")
 
 
 def telemetry_row(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +96,7 @@ def telemetry_row(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = _events(spark, sf_dir).select(F.lower(F.trim("provider")).alias("p")).where("p is not null")
+    e = read_table(spark, sf_dir, "audit_events").select(clean(F.col("provider")).alias("p")).where("p is not null")
     return e.select(F.concat(F.lit("/"), "p", F.when(F.col("p") == "gemini", "/v2/chat").otherwise("/v1/chat")).alias("path")).distinct()
 
 
@@ -106,25 +116,36 @@ def provider_of_path(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 FX_DECISIONS = [
-    (i, overall, mode, policy, bypass, undecoded, unredacted, overall == "block")
-    for i, (overall, mode, policy, bypass, undecoded, unredacted) in enumerate(
-        (o, m, p, b, d, r)
-        for o in ("allow", "warn", "redact", "block") for m in ("enforce", "shadow") for p in ("open", "closed", "closed-on-critical")
-        for b in (None, "bypass", "break-glass") for d in (False, True) for r in (False, True)
+    (i, *row)
+    for i, row in enumerate(
+        (o, n, m, p, b, d, r, k, o == "block" or i % 2 == 1, large)
+        for i, (o, n) in enumerate((("allow", 0), ("allow", 1), ("warn", 1), ("redact", 1), ("redact", 2), ("block", 1))) for m in ("enforce", "shadow") for p in ("open", "closed", "closed-on-critical")
+        for b in (None, "bypass", "break-glass") for d in (False, True) for r in (False, True) for k, large in ((0, False), (2, False), (1, True))
     )
 ]
 
 
 def decision_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every combination of strongest action, mode, fail policy, bypass and failures."""
-    rows = spark.createDataFrame(FX_DECISIONS, "id int, overall string, mode string, fail_policy string, bypass string, decode_failed boolean, redact_failed boolean, has_critical boolean")
-    ready = rows.withColumns({"n_findings": F.when(F.col("overall") == "allow", 0).otherwise(1), "binary_parts": F.lit(0), "too_large": F.lit(False)})
-    return decision.decide(ready).select("id", "outcome", "forwarded", "http_status", "action_taken", F.array_join("audit_flags", ",").alias("audit_flags"), "has_event")
+    """Every combination of strongest action, findings, mode, fail policy, bypass, failures, binary parts and size."""
+    kind = "id int, overall string, n_findings int, mode string, fail_policy string, bypass string, decode_failed boolean, redact_failed boolean, binary_parts int, has_critical boolean, too_large boolean"
+    return decision.decide(spark.createDataFrame(FX_DECISIONS, kind)).select("id", "outcome", "forwarded", "http_status", F.when(F.col("has_event"), F.col("action_taken")).alias("action_taken"), F.array_join("audit_flags", ",").alias("audit_flags"), "has_event")
+
+
+FX_UPSTREAMS = [("default", None), ("openai", None), ("mistral", "/m/"), ("alpha", "/openai/v9/"), ("beta", "/openai/v9/"), ("long", "/openai/v9/chat/"), ("Groq", None)]
+FX_PATHS = ["/openai/v1", "/openai/v9/x", "/openai/v9/chat/y", "/anthropic/v1", "/mistral/v1", "/m/v1", "/groq/v1", "/", "", "/openai", "openai/v1"]
+
+
+def route_fallbacks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Routing where built-in providers have no upstream, with and without a ``default``."""
+    ups = spark.createDataFrame(FX_UPSTREAMS, "name string, path_prefix string")
+    paths = spark.createDataFrame([(p,) for p in FX_PATHS], "path string")
+    bare = routing.route(paths, "path", ups.where("name <> 'default'")).select("path", F.col("upstream").alias("without_default"))
+    return routing.route(paths, "path", ups).select("path", "upstream").join(bare, "path")
 
 
-FX_GRANTS = [("n1", "openai", 100, 60), ("n2", "*", 100, None), ("n3", "gemini", 100, 99999)]
+FX_GRANTS = [("n1", "openai", 100, 60), ("n2", "*", 100, None), ("n3", "gemini", 100, 99999), ("n5", "groq", 100, 60), ("n6", "*", 100, 60)]
 FX_ATTEMPTS = [
-    ("n1", "gemini", 110), ("n1", "openai", 120), ("n1", "openai", 130), ("n2", "mistral", 161), ("n2", "mistral", 162), ("n3", "gemini", 3700), ("n4", "openai", 5),
+    ("n1", "gemini", 110), ("n1", "openai", 120), ("n1", "openai", 130), ("n2", "mistral", 161), ("n2", "mistral", 162), ("n3", "gemini", 3700), ("n4", "openai", 5), ("n5", "groq", 159), ("n6", "groq", 160), ("n6", "groq", 159),
 ]
 
 
@@ -151,15 +172,6 @@ def _streamed_windows(spark: SparkSession, source: Stage) -> DataFrame:
     return spark.read.schema(windows.schema).parquet(f"{place}/out").withColumn("on_day", F.date_format("window_start", "yyyy-MM-dd"))
 
 
-def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events of each provider and day counted by a stream; only those with ``ts_unix`` in seconds, made unique before it, as
-    its SQL has it. ``stream_windows_all`` is the whole job."""
-    table = read_table(spark, sf_dir, "audit_events")
-    keep = table.select("id", "provider", "ts_unix", "counts").where("ts_unix is not null and ts_unix < 100000000000").groupBy("id").agg(F.max_by("provider", "ts_unix").alias("provider"), F.max("ts_unix").alias("ts_unix"))
-    source = Stage(keep.withColumn("counts", F.lit(None).cast("map<string,bigint>")), "stream-source")
-    return _streamed_windows(spark, source).select("on_day", "provider", "n_events")
-
-
 def windows_of_all(events: DataFrame) -> DataFrame:
     """Events and findings of each provider and day by a stream over every row, repeated ids included.
 
@@ -171,7 +183,7 @@ def windows_of_all(events: DataFrame) -> DataFrame:
     return _streamed_windows(events.sparkSession, source).select("on_day", "provider", "n_events", "n_findings")
 
 
-def stream_windows_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def stream_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events and findings of each provider and day, the whole table through the stream."""
     return windows_of_all(read_table(spark, sf_dir, "audit_events"))
 
@@ -180,56 +192,68 @@ QUERIES = {
     f.__name__: f
     for f in (
         stats_by_provider, stats_by_tool, top_flags, top_flags_by_provider, stats_summary, recent_events, recent_openai, events_since, events_snapshot, retention_keep, write_gate,
-        interventions, telemetry_row, route_longest_prefix, route_host, provider_of_path, decision_table, grant_replay, stream_windows, stream_windows_all,
+        interventions, telemetry_row, route_longest_prefix, route_host, provider_of_path, route_fallbacks, decision_table, grant_replay, stream_windows,
     )
 }
 
-_COUNTS = "c as (select provider, unnest(map_entries(counts)) as e from audit_events), s as (select provider, e.key as flag, sum(coalesce(e.value, 0))::bigint as n from c group by all)"
-_NEW = "e as (select id, max(ts_unix) as ts_unix from audit_events where ts_unix is not null group by id)"
-_REQUESTS = "r as (select distinct '/' || lower(trim(provider, ' ')) || case when lower(trim(provider, ' ')) = 'gemini' then '/v2/chat' else '/v1/chat' end as path from audit_events where provider is not null)"
+_EV = f"""raw as (select * from audit_events qualify row_number() over (partition by id order by received_at desc) = 1),
+ev as (select id, coalesce({clean_sql('provider')}, 'unknown') as provider, {clean_sql('tool')} as tool, {clean_sql('action_taken')} as action_taken, {clean_sql('mode')} as mode, {EVENT_SECONDS_SQL} as ts_unix, counts from raw)"""
+_COUNTS = f"{_EV}, c as (select provider, unnest(map_entries(counts)) as e from ev), s as (select provider, {clean_sql('e.key')} as flag, sum(coalesce(e.value, 0))::bigint as n from c group by all)"
+_REQUESTS = f"r as (select distinct '/' || p || case when p = 'gemini' then '/v2/chat' else '/v1/chat' end as path from (select {clean_sql('provider')} as p from audit_events) where p is not null)"
 ORACLES = {
-    "stats_by_provider": "select provider, count(*) as total, count(*) filter (action_taken = 'block') as blocked, count(*) filter (action_taken = 'warn') as warned from audit_events group by provider",
-    "stats_by_tool": "select tool, count(*) as total, count(distinct action_taken) as n_actions from audit_events group by tool",
+    "stats_by_provider": f"with {_EV} select provider, count(*) as total, count(*) filter (action_taken = 'block') as blocked, count(*) filter (action_taken = 'warn') as warned from ev group by provider",
+    "stats_by_tool": f"""with {_EV}, a as (select tool, action_taken, count(*) as n from ev where tool is not null group by all)
+    select tool, sum(n)::bigint as total, coalesce(string_agg(action_taken || '=' || n, ',' order by action_taken) filter (action_taken is not null), '') as actions from a group by tool""",
     "top_flags": f"with {_COUNTS}, t as (select flag, sum(n)::bigint as n from s group by flag) select flag, n, row_number() over (order by n desc, flag) as place from t qualify place <= 10",
     "top_flags_by_provider": f"with {_COUNTS} select provider, flag, n, row_number() over (partition by provider order by n desc, flag) as place from s qualify place <= 10",
-    "stats_summary": f"""with {_COUNTS}, t as (select flag, sum(n)::bigint as n from s group by flag order by n desc, flag limit 1)
-    select count(*) as total, count(distinct provider) as n_providers, count(distinct tool) as n_tools, count(distinct action_taken) as n_actions, (select flag from t) as top_flag, (select n from t) as top_n from audit_events""",
-    "recent_events": f"with {_NEW} select id, ts_unix from e order by ts_unix desc, id limit 100",
-    "recent_openai": """with e as (select id, ts_unix, provider from audit_events where ts_unix is not null qualify row_number() over (partition by id order by ts_unix desc, provider desc nulls last) = 1),
-    r as (select * from e order by ts_unix desc, id limit 1000) select * from r where provider = 'openai'""",
-    "events_since": f"select tool, count(*) as n from audit_events where provider = 'anthropic' and ts_unix >= {NOW - 30 * 86400} group by tool",
-    "events_snapshot": """with e as (select id, max(ts_unix) as ts_unix, max(mode) as mode from audit_events where ts_unix is not null group by id),
+    "stats_summary": f"""with {_COUNTS}, t as (select flag, sum(n)::bigint as n from s group by flag order by n desc, flag limit 10)
+    select 'total' as kind, null as name, count(*) as n from ev union all select 'provider', provider, count(*) from ev group by provider union all select 'tool', tool, count(*) from ev where tool is not null group by tool
+    union all select 'action_taken', action_taken, count(*) from ev where action_taken is not null group by action_taken union all select 'flag', flag, n from t""",
+    "recent_events": f"with {_EV} select id, ts_unix from ev where ts_unix is not null order by ts_unix desc, id limit 100",
+    "recent_openai": f"with {_EV}, r as (select id, ts_unix, provider from ev where ts_unix is not null order by ts_unix desc, id limit 1000) select * from r where provider = 'openai'",
+    "events_since": f"with {_EV} select tool, count(*) as n from ev where provider = 'anthropic' and ts_unix >= {NOW - 30 * 86400} group by tool",
+    "events_snapshot": f"""with {_EV}, e as (select id, ts_unix, mode from ev where ts_unix is not null),
     r as (select * from e order by ts_unix desc, id limit 500),
     b as (select id, ts_unix, 'memory' as mode from e where mode = 'api' union all select * from r where coalesce(mode, '') <> 'api')
     select * from b order by ts_unix desc, id limit 500""",
-    "retention_keep": f"select mode, count(*) as n from audit_events where ts_unix >= {NOW - 90 * 86400} group by mode",
+    "retention_keep": f"with {_EV} select mode, count(*) as n from ev where ts_unix >= {NOW - 90 * 86400} group by mode",
     "write_gate": """select case when len(list_filter(coalesce(hashed_values, []), lambda h: h is null or not starts_with(case when ends_with(id, '0') then replace(h, 'hmac:', 'sha256:') else h end, 'hmac:'))) = 0
     then 'written' else 'rejected' end as outcome, count(*) as n from audit_events group by 1""",
-    "interventions": "select ts_unix, min(id) as id from audit_events where ts_unix is not null and action_taken in ('block', 'redact', 'warn') group by ts_unix",
-    "telemetry_row": "select '1.0.0' as version, 60 as uptime_s, 15 as rule_count, count(*) as event_count from audit_events",
+    "interventions": f"with {_EV} select ts_unix, min(id) as id from ev where ts_unix is not null and action_taken in ('block', 'redact', 'warn') group by ts_unix",
+    "telemetry_row": f"with {_EV} select '1.0.0' as version, 60 as uptime_s, 15 as rule_count, count(*) as event_count from ev",
     "route_longest_prefix": f"""with {_REQUESTS},
     j as (select r.path, u.name, length(u.path_prefix) as n from r left join upstreams u on length(u.path_prefix) > 0 and starts_with(r.path, u.path_prefix)),
     b as (select path, name from j qualify row_number() over (partition by path order by n desc nulls last, name) = 1),
-    c as (select path, coalesce(name, nullif(regexp_extract(path, '^/(openai|anthropic|gemini|mistral|groq)/', 1), ''), 'unknown') as upstream from b)
+    k as (select path, name, regexp_extract(path, '^/(openai|anthropic|gemini|mistral|groq)/', 1) as own from b),
+    c as (select path, case when name is not null then name when own in (select name from upstreams) then own when exists (select 1 from upstreams where name = 'default') then 'default' else 'unknown' end as upstream from k)
     select path, upstream, coalesce((select lower(min(mode)) from upstreams u where u.name = upstream and mode is not null), 'enforce') as mode from c""",
     "route_host": """with h as (select distinct lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1)) as host from upstreams union all select upper(name) from upstreams union all select 'other.example')
     select host, coalesce((select min(name) from upstreams where lower(name) = lower(host)), (select min(name) from upstreams where lower(regexp_extract(url, '^[a-z]+://([^/:]+)', 1)) = lower(host)), host) as upstream from h""",
     "provider_of_path": f"with {_REQUESTS} select path, coalesce(nullif(regexp_extract(path, '^/(openai|anthropic|gemini|mistral|groq)/', 1), ''), 'unknown') as provider from r",
-    "decision_table": "with t(id, overall, mode, policy, bypass, undecoded, unredacted, critical) as (values "
+    # One select for each way a request can go, in the order in which it is handled.
+    "decision_table": "with t(id, overall, n, mode, policy, bypass, undecoded, unredacted, parts, critical, large) as (values "
     + ", ".join("(" + ", ".join("null" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, int) else f"'{v}'" for v in row) + ")" for row in FX_DECISIONS)
-    + """), a as (select *, mode = 'shadow' as shadow, overall <> 'allow' as found, policy = 'open' or (policy = 'closed-on-critical' and not critical) as passes, mode = 'enforce' and overall = 'redact' and unredacted as failed from t),
-    o as (select *, case when undecoded and policy <> 'open' then 'reject-undecoded' when undecoded then 'forward' when not shadow and overall = 'block' and bypass is null then 'block'
-      when failed and not passes then 'reject-unredacted' when failed then 'forward' when not shadow and overall = 'redact' then 'forward-redacted' else 'forward' end as outcome from a),
-    f as (select *, case when outcome = 'block' then '' else concat_ws(',', case when shadow and found then 'shadow' end, case when undecoded then 'decode-failed' end, case when failed then 'redact-failed' end,
-      case when bypass is not null then 'bypass' end, case when bypass = 'break-glass' then 'break-glass' end) end as audit_flags from o)
-    select id, outcome, case outcome when 'forward' then 'original' when 'forward-redacted' then 'redacted' else 'none' end as forwarded,
-      case when outcome = 'block' then 403 when starts_with(outcome, 'reject') then 502 else 200 end as http_status,
-      case when undecoded then case when policy = 'open' then 'fail-open' else 'fail-closed' end when failed then case when passes then 'fail-open' else 'fail-closed' end
-        when bypass is not null and overall = 'block' then 'bypass' else overall end as action_taken,
-      audit_flags, found or audit_flags <> '' as has_event from f""",
+    + """), big as (select * from t where large), l1 as (select * from t where not large),
+    undec as (select * from l1 where undecoded and policy <> 'open'), l2 as (select * from l1 where not (undecoded and policy <> 'open')),
+    stopped as (select * from l2 where mode = 'enforce' and overall = 'block' and bypass is null), l3 as (select * from l2 where not (mode = 'enforce' and overall = 'block' and bypass is null)),
+    failed as (select *, policy = 'open' or (policy = 'closed-on-critical' and not critical) as lenient from l3 where mode = 'enforce' and overall = 'redact' and unredacted),
+    fine as (select * from l3 where not (mode = 'enforce' and overall = 'redact' and unredacted)),
+    own as (select id, n > 0 and bypass is not null as b, n > 0 and bypass = 'break-glass' as g, undecoded as d, mode = 'shadow' and n > 0 as s, parts > 0 as p from l3)
+    select id, 'too-large' as outcome, 'none' as forwarded, 413 as http_status, null as action_taken, '' as audit_flags, false as has_event from big
+    union all select id, 'reject-undecoded', 'none', 502, 'fail-closed', 'decode-failed', true from undec
+    union all select id, 'block', 'none', 403, case when n > 0 then 'block' end, '', n > 0 from stopped
+    union all select id, 'reject-unredacted', 'none', 502, 'fail-closed', concat_ws(',', case when d then 'decode-failed' end, case when p then 'binary-unscanned' end, 'redact-failed'), true from failed join own using (id) where not lenient
+    union all select id, 'forward', 'original', 200, 'fail-open', concat_ws(',', case when b then 'bypass' end, case when g then 'break-glass' end, case when d then 'decode-failed' end, case when p then 'binary-unscanned' end, 'redact-failed'), true
+      from failed join own using (id) where lenient
+    union all select id, case when mode = 'enforce' and overall = 'redact' then 'forward-redacted' else 'forward' end, case when mode = 'enforce' and overall = 'redact' then 'redacted' else 'original' end, 200,
+      case when n > 0 and bypass is not null then 'bypass' when n > 0 then overall when d then 'fail-open' when p then 'allow' end,
+      concat_ws(',', case when b then 'bypass' end, case when g then 'break-glass' end, case when d then 'decode-failed' end, case when s then 'shadow' end, case when p then 'binary-unscanned' end), n > 0 or d or p
+      from fine join own using (id)""",
+    "route_fallbacks": """select * from (values ('/openai/v1', 'openai', 'openai'), ('/openai/v9/x', 'alpha', 'alpha'), ('/openai/v9/chat/y', 'long', 'long'), ('/anthropic/v1', 'default', 'unknown'), ('/mistral/v1', 'mistral', 'mistral'),
+    ('/m/v1', 'mistral', 'mistral'), ('/groq/v1', 'default', 'unknown'), ('/', 'default', 'unknown'), ('', 'default', 'unknown'), ('/openai', 'default', 'unknown'), ('openai/v1', 'default', 'unknown')) as t(path, upstream, without_default)""",
     "grant_replay": """select * from (values ('n1', 'gemini', 110, 'scope-mismatch'), ('n1', 'openai', 120, 'granted'), ('n1', 'openai', 130, 'unknown-nonce'), ('n2', 'mistral', 161, 'expired'),
-    ('n2', 'mistral', 162, 'unknown-nonce'), ('n3', 'gemini', 3700, 'granted'), ('n4', 'openai', 5, 'unknown-nonce')) as t(nonce, provider, "at", result)""",
-    "stream_windows": """with e as (select id, arg_max(provider, ts_unix) filter (provider is not null) as p, max(ts_unix) as ts_unix from audit_events where ts_unix is not null and ts_unix < 100000000000 group by id),
-    l as (select id, provider, ts_unix from audit_events where ts_unix is not null and ts_unix < 100000000000 qualify row_number() over (partition by id order by ts_unix desc) = 1)
-    select strftime(make_timestamp(ts_unix * 1000000), '%Y-%m-%d') as on_day, coalesce(provider, 'unknown') as provider, count(*) as n_events from l group by all""",
+    ('n2', 'mistral', 162, 'unknown-nonce'), ('n3', 'gemini', 3700, 'expired'), ('n4', 'openai', 5, 'unknown-nonce'),
+    ('n5', 'groq', 159, 'granted'), ('n6', 'groq', 159, 'granted'), ('n6', 'groq', 160, 'unknown-nonce')) as t(nonce, provider, "at", result)""",
+    "stream_windows": f"""with {_EV} select strftime(make_timestamp(ts_unix * 1000000), '%Y-%m-%d') as on_day, provider, count(*) as n_events, sum(coalesce(list_sum(map_values(counts)), 0))::bigint as n_findings
+    from ev where ts_unix is not null group by all""",
 }

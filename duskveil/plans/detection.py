@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import hashing, text, validators
-from ..operators import audit, decode, evaluation, redact, structured
+from ..operators import audit, decode, redact, structured
 from ..operators.entropy import DEFAULT_THRESHOLD
 from ..operators.rules import DEFAULT_RULES, Policy, Rule, rules_from_frame
 from ..operators.scan import first_match, overall_action, scan, without_allowed
@@ -18,9 +18,14 @@ BY_NAME = {r.flag.split(".")[1]: r for r in DEFAULT_RULES}
 TOKENS = [BY_NAME[n] for n in ("openai_api_key", "anthropic_api_key", "aws_access_key_id", "github_token", "stripe_key", "google_api_key", "slack_token")]
 
 
+def _texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages as they lie in the table. Findings of equal ids are one set, so copies of a row need not be taken out before a scan."""
+    return read_table(spark, sf_dir, "messages").select("message_id", "content").where("content is not null")
+
+
 def _messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Messages, exact copies of a row once."""
-    return read_table(spark, sf_dir, "messages").select("message_id", "content").where("content is not null").distinct()
+    """Messages, exact copies of a row once, for results with a row for each message."""
+    return _texts(spark, sf_dir).distinct()
 
 
 def _sql(pattern: str) -> str:
@@ -40,67 +45,61 @@ def _token_rows() -> str:
 
 def scan_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of all default rules over the messages, by flag."""
-    found = scan(_messages(spark, sf_dir), ["message_id"], "content", DEFAULT_RULES, key=KEY)
+    found = scan(_texts(spark, sf_dir), ["message_id"], "content", DEFAULT_RULES, key=KEY)
     return found.groupBy("flag").agg(F.count(F.lit(1)).alias("n_findings"), F.countDistinct("message_id").alias("n_messages"))
 
 
 def scan_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every finding of the default rules with its span and keyed hash."""
-    return scan(_messages(spark, sf_dir), ["message_id"], "content", DEFAULT_RULES, key=KEY).withColumn("seq", F.to_json("seq"))
-
-
-def scan_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Findings of the default rules over the documents, by flag."""
-    found = scan(read_table(spark, sf_dir, "documents"), ["doc_id"], "text", DEFAULT_RULES, key=KEY)
-    return found.groupBy("flag").agg(F.count(F.lit(1)).alias("n_findings"), F.countDistinct("doc_id").alias("n_documents"))
+    return scan(_texts(spark, sf_dir), ["message_id"], "content", DEFAULT_RULES, key=KEY).withColumn("seq", F.to_json("seq"))
 
 
 def scan_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(_messages(spark, sf_dir), ["message_id"], "content", TOKENS, key=KEY, entropy_threshold=None, keep_value=True).select("message_id", "flag", "action", "hashed_value", "value")
+    return scan(_texts(spark, sf_dir), ["message_id"], "content", TOKENS, key=KEY, entropy_threshold=None, keep_value=True).select("message_id", "flag", "action", "hashed_value", "value")
 
 
 def scan_email(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(_messages(spark, sf_dir), ["message_id"], "content", [BY_NAME["email_address"]], entropy_threshold=None, keep_value=True).select("message_id", "value", "hashed_value")
+    return scan(_texts(spark, sf_dir), ["message_id"], "content", [BY_NAME["email_address"]], entropy_threshold=None, keep_value=True).select("message_id", "value", "hashed_value")
 
 
 def scan_env_block(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan(_messages(spark, sf_dir), ["message_id"], "content", [BY_NAME["env_block"]], entropy_threshold=None, keep_value=True).select("message_id", "value")
+    return scan(_texts(spark, sf_dir), ["message_id"], "content", [BY_NAME["env_block"]], entropy_threshold=None, keep_value=True).select("message_id", "value")
 
 
 def scan_private_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = [BY_NAME["pem_private_key"], BY_NAME["id_rsa_ssh_key"]]
-    found = scan(_messages(spark, sf_dir), ["message_id"], "content", rules, entropy_threshold=None)
+    found = scan(_texts(spark, sf_dir), ["message_id"], "content", rules, entropy_threshold=None)
     return found.select("message_id", "flag", (F.col("end") - F.col("start")).alias("n_bytes"))
 
 
 def context_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Plain numbers that count as phone numbers because a keyword stands on their line."""
     rule = DEFAULT_RULES[11]
-    return scan(_messages(spark, sf_dir), ["message_id"], "content", [rule], entropy_threshold=None, keep_value=True).select("message_id", "value")
+    return scan(_texts(spark, sf_dir), ["message_id"], "content", [rule], entropy_threshold=None, keep_value=True).select("message_id", "value")
 
 
 def entropy_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Values of high entropy near keywords."""
-    found = scan(_messages(spark, sf_dir), ["message_id"], "content", [], entropy_threshold=DEFAULT_THRESHOLD, keep_value=True)
+    found = scan(_texts(spark, sf_dir), ["message_id"], "content", [], entropy_threshold=DEFAULT_THRESHOLD, keep_value=True)
     return found.select("message_id", "start", "end", "value")
 
 
 def rule_table_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings of the table's own rules over the messages, by flag."""
     rules = rules_from_frame(read_table(spark, sf_dir, "rules"))
-    found = scan(_messages(spark, sf_dir), ["message_id"], "content", rules, entropy_threshold=None)
+    found = scan(_texts(spark, sf_dir), ["message_id"], "content", rules, entropy_threshold=None)
     return found.groupBy("flag").agg(F.count(F.lit(1)).alias("n_findings"))
 
 
 def message_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Strongest action of each message under the token rules."""
-    m = _messages(spark, sf_dir)
+    m = _texts(spark, sf_dir)
     return overall_action(m, scan(m, ["message_id"], "content", TOKENS, entropy_threshold=None), ["message_id"])
 
 
 def allowlist_antijoin(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token findings without those whose fingerprint is listed: here all that begin with AKIA are."""
-    found = scan(_messages(spark, sf_dir), ["message_id"], "content", TOKENS, key=KEY, entropy_threshold=None, keep_value=True)
+    found = scan(_texts(spark, sf_dir), ["message_id"], "content", TOKENS, key=KEY, entropy_threshold=None, keep_value=True)
     listed = found.where("value like 'AKIA%'").select(hashing.allowlist_fingerprint(KEY, F.col("value")).alias("fingerprint"))
     return without_allowed(found, listed, KEY).select("message_id", "flag", "value")
 
@@ -156,8 +155,17 @@ def redact_json_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def adapter_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Text of chat request bodies."""
-    return _bodies(spark, sf_dir).select("message_id", F.md5(decode.adapted_text(F.col("body"))).alias("digest"))
+    """Text of request bodies: contents that are strings, whatever they look like, parts and numbers that are none, with and without a prompt."""
+    kind, c = F.pmod("message_id", F.lit(5)), F.to_json(F.array(F.col("content")))
+    quoted = F.substring(c, F.lit(2), F.length(c) - 2)
+    body = (
+        F.when(kind == 0, F.concat(F.lit('{"messages":[{"role":"user","content":'), quoted, F.lit("}]}")))
+        .when(kind == 1, F.concat(F.lit('{"messages":[{"content":'), quoted, F.lit('},{"content":["part"]},{"content":7},{"role":"x"},{"content":"end"}],"prompt":"more"}')))
+        .when(kind == 2, F.concat(F.lit('{"prompt":'), quoted, F.lit("}")))
+        .when(kind == 3, F.concat(F.lit('{"messages":[{"content":[{"text":'), quoted, F.lit('}]}],"prompt":5}')))
+        .otherwise(F.concat(F.lit('{"messages":'), quoted, F.lit("")))
+    )
+    return _messages(spark, sf_dir).select("message_id", F.md5(decode.adapted_text(body)).alias("digest"))
 
 
 def multipart_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,13 +180,13 @@ def multipart_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def audit_from_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events of messages with findings of the token rules."""
-    found = scan(_messages(spark, sf_dir), ["message_id"], "content", TOKENS, key=KEY, entropy_threshold=None)
+    found = scan(_texts(spark, sf_dir), ["message_id"], "content", TOKENS, key=KEY, entropy_threshold=None)
     events = audit.events_from_findings(found, ["message_id"])
     return events.select("message_id", F.array_join(F.array_sort("flags"), ",").alias("flags"), "severity", "total", F.size("hashed_values").alias("n_hashes"))
 
 
 def feedback_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan(_messages(spark, sf_dir), ["message_id"], "content", TOKENS, entropy_threshold=None)
+    found = scan(_texts(spark, sf_dir), ["message_id"], "content", TOKENS, entropy_threshold=None)
     return audit.feedback(found, ["message_id"]).select("message_id", "total", "max_severity", "summary")
 
 
@@ -225,16 +233,7 @@ def effective_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
         custom_rules=[Rule("pii.phone_number", "pii", "high", (r"\d{9}",), "redact"), Rule("custom.digits", "internal_code", "low", (r"\d+",), "warn")],
     )
     policy.check()
-    return spark.createDataFrame([(r.flag, r.category, r.severity, r.action, r.patterns[0]) for r in policy.effective(base)], "flag string, category string, severity string, action string, pattern string")
-
-
-def precision_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Token findings held against the literal occurrences of their own values: all rates are 1."""
-    m = _messages(spark, sf_dir)
-    found = scan(m, ["message_id"], "content", TOKENS, entropy_threshold=None, keep_value=True)
-    expected = found.select("message_id", "flag", "value", F.col("start").alias("idx"))
-    spans = evaluation.expected_spans(m, expected, "message_id", "content")
-    return evaluation.precision_recall(evaluation.matches(spans, found, "message_id"), "flag")
+    return spark.createDataFrame([(r.flag, r.category, r.severity, r.action, " | ".join(r.patterns)) for r in policy.effective(base)], "flag string, category string, severity string, action string, patterns string")
 
 
 def text_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -258,7 +257,7 @@ def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Report of a scan for each message: findings by flag as text, number of hashes, strongest action."""
-    found = scan(_messages(spark, sf_dir), ["message_id"], "content", TOKENS, key=KEY, entropy_threshold=None)
+    found = scan(_texts(spark, sf_dir), ["message_id"], "content", TOKENS, key=KEY, entropy_threshold=None)
     r = audit.scan_report(found, ["message_id"])
     counts = F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat(e["key"], F.lit("="), e["value"].cast("string"))), ",")
     return r.select("message_id", counts.alias("counts"), F.size("hashed_values").alias("n_hashes"), "action")
@@ -273,9 +272,9 @@ def first_private_key(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        scan_flags, scan_findings, scan_documents, scan_tokens, scan_email, scan_env_block, scan_private_keys, context_phone, entropy_values, rule_table_scan, message_actions,
+        scan_flags, scan_findings, scan_tokens, scan_email, scan_env_block, scan_private_keys, context_phone, entropy_values, rule_table_scan, message_actions,
         allowlist_antijoin, redact_google, redact_policy, vault_round_trip, json_leaves, json_decision, redact_json_bodies, adapter_text, multipart_regions,
-        audit_from_findings, feedback_summary, validator_table, luhn_of_events, entropy_of_hashes, hash_tools, effective_rules, precision_recall, text_lengths,
+        audit_from_findings, feedback_summary, validator_table, luhn_of_events, entropy_of_hashes, hash_tools, effective_rules, text_lengths,
         text_functions, scan_report, first_private_key,
     )
 }
@@ -321,7 +320,7 @@ ORACLES = {
     "vault_round_trip": _token_rows() + " select m.message_id, true as restored, count(flag) as n_tokens from m left join f using (message_id) group by m.message_id",
     "json_leaves": _MSG + "select message_id, 0 as leaf_idx, md5(content) as digest from m union all select message_id, 1, md5('user') from m union all select message_id, 2, md5('m') from m",
     "json_decision": _token_rows() + " select flag, count(*) as n_findings, count(distinct message_id) as n_messages from f group by flag",
-    "adapter_text": _MSG + "select message_id, case when not regexp_matches(content, '^[\\[{]') then md5(content) end as digest from m",
+    "adapter_text": _MSG + "select message_id, md5(case message_id % 5 when 0 then content when 1 then content || ' end more' when 2 then content end) as digest from m",
     "multipart_regions": _MSG + "select message_id, 'multipart' as kind, case when content = '' then 4 else 5 end as n_regions, 1 as binary_parts from m",
     "audit_from_findings": _token_rows()
     + f""" select message_id, string_agg(distinct flag, ',' order by flag) as flags,
@@ -343,10 +342,9 @@ ORACLES = {
     c as (select h, unnest(string_split(h, '')) as c from h), n as (select h, c, count(*) as n from c group by all)
     select h, round(-sum(n * 1.0 / length(h) * log2(n * 1.0 / length(h))), 6) as bits from n group by h""",
     "hash_tools": f"select tool, 'sha256:' || sha256(tool) as plain, {_hmac_sql(KEY, hashing.DOMAIN_FINDING, 'tool')} as keyed from (select distinct tool from audit_events where tool is not null)",
-    "effective_rules": """with b as (select flag, category, severity, action, patterns[1] as pattern from rules where flag not in ('pii.phone_number', 'custom.digits')
+    "effective_rules": """with b as (select flag, category, severity, action, array_to_string(patterns, ' | ') as patterns from rules where flag not in ('pii.phone_number', 'custom.digits')
       union all values ('pii.phone_number', 'pii', 'high', 'redact', '\\d{9}'), ('custom.digits', 'internal_code', 'low', 'warn', '\\d+'))
-    select flag, category, severity, case when flag = 'pii.email_address' then 'allow' when category = 'internal_code' then 'block' else action end as action, pattern from b""",
-    "precision_recall": _token_rows() + " select flag, count(*) as tp, 0 as fp, 0 as fn, 1.0::double as precision, 1.0::double as recall from f group by flag",
+    select flag, category, severity, case when flag = 'pii.email_address' then 'allow' when category = 'internal_code' then 'block' else action end as action, patterns from b""",
     "text_lengths": """with n as (select strlen(text) as n, text from documents where text is not null),
     c as (select n, text, case when strlen(text) <= 200 then strlen(text) else (select max(strlen(left(text, k))) from (select unnest(range(0, 201)) as k) where strlen(left(text, k)) <= 200) end as cut from n)
     select quantile_disc(n, 0.5) as p50, quantile_disc(n, 0.95) as p95, quantile_disc(n, 0.99) as p99, max(cut) as longest_cut from c""",

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import activity, auditing, detection
+from . import activity, auditing, detection, fixtures
 
-MODULES = [activity, auditing, detection]
+MODULES = [activity, auditing, detection, fixtures]
 
 
 def queries() -> dict:

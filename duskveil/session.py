@@ -27,8 +27,9 @@ def build_session(master: str = "local[8]", app: str = "duskveil", **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach.
 
-    Reads ``spark.checkpoint.dir`` from the session; only where it is unset (tests, a laptop) a
-    temporary folder is created and set as checkpoint folder.
+    Reads ``spark.checkpoint.dir`` from the session; only where it is unset and all runs in one
+    process (tests, a laptop) a temporary folder is created and set as checkpoint folder. On a cluster
+    without one this is an error: what executors write to their own disks would be lost.
     """
     configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
@@ -39,6 +40,8 @@ def shared_dir(spark: SparkSession) -> str:
         return configured
     current = spark.sparkContext.getCheckpointDir()
     if current is None:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="duskveil-"))
         current = spark.sparkContext.getCheckpointDir()
     return current

@@ -212,6 +212,7 @@ def test_redaction_rules():
     assert redact.redact_text("abcdefgh", [span(1, 3, 2), span(5, 6, 1)]) == ("a[REDACTED:f]defgh", None)
     assert redact.redact_text("abc", [span(0, 1, 3, "x")]) == (None, "x") and redact.redact_text("abc", [span(2, 9, 2, "y")]) == (None, "y")
     assert redact.redact_text("abcdef", [span(1, 5, 2)], "*{flag}", True) == ("a*f**f", None)
+    assert redact.token("ü", 8, "[{flag}]", True) == "[ü]****" and redact.token("ü", 2, "[{flag}]", True) == "[*" and len(redact.token("é" * 9, 7, "{flag}", True).encode()) == 7
     assert redact.redact_text("é1é", [span(2, 3, 2)]) == ("é[REDACTED:f]é", None)
 
 
@@ -292,16 +293,15 @@ def test_events_and_gate(spark, tmp_path):
     ok, no = audit.gate(rows)
     assert sorted(r["id"] for r in ok.collect()) == ["a", "c", "d"] and sorted(r["id"] for r in no.collect()) == ["b", "e"]
     place = str(tmp_path / "events")
-    audit.append_events(rows, place)
-    audit.append_events(rows, place, allow_legacy=True)
+    assert audit.append_events(rows.unionByName(rows.where("id = 'a'")).unionByName(rows.limit(1).withColumn("id", F.lit(None).cast("string"))), place) == {"written": 3, "rejected-unkeyed": 2, "duplicate-id": 2}
+    assert audit.append_events(rows, place, allow_legacy=True) == {"written": 1, "rejected-unkeyed": 1, "duplicate-id": 3}
     assert sorted(r["id"] for r in spark.read.parquet(place).collect()) == ["a", "b", "c", "d"]
     assert rows.select("id", audit.without_raw(rows, ["sha256"]).alias("clean")).where("not clean").count() == 1
 
 
 def test_statistics_of_nothing(spark):
     none = spark.createDataFrame([], "id string, provider string, tool string, action_taken string, counts map<string,bigint>, ts_unix bigint")
-    row = audit.summary(none).first()
-    assert row["total"] == 0 and row["by_provider"] == {} and row["top_flags"] == []
+    assert [tuple(r) for r in audit.summary(none).collect()] == [("total", None, 0)]
     assert audit.top_flags(none, []).count() == 0
 
 
