@@ -61,7 +61,7 @@ _CAMEL = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[^\W\d_A-Z]+")
 
 @lru_cache(maxsize=2)
 def dictionary(path: str) -> dict[str, float]:
-    """Word -> cost; the cost grows with the word's rank in the vocabulary."""
+    """Word -> cost; the cost grows with the word's rank in the vocabulary. It is read on the driver and travels with the plan."""
     words: dict[str, float] = {}
     with open(path, "rb") as f:
         for line in f:
@@ -316,9 +316,10 @@ def find_credentials(messages: DataFrame, id_column: str, text_column: str, allo
     null; repeated rows give repeated findings; an empty table gives no rows.
     """
     kind = dict(messages.dtypes)[id_column]
+    words = dictionary(path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(dictionary(path), frozenset(allowed))
+        finder = Finder(words, frozenset(allowed))
         for batch in batches:
             yield spans_to_rows(batch, finder.spans, id_column)
 
@@ -328,9 +329,10 @@ def find_credentials(messages: DataFrame, id_column: str, text_column: str, allo
 def redact_credentials(messages: DataFrame, text_column: str, allowed: tuple[str, ...] = (), path: str = DICTIONARY_PATH, mark: str = "[REDACTED:secret]") -> DataFrame:
     """The table with every credential in ``text_column`` replaced by ``mark``; all else unchanged."""
     at = messages.columns.index(text_column)
+    words = dictionary(path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Finder(dictionary(path), frozenset(allowed))
+        finder = Finder(words, frozenset(allowed))
         for batch in batches:
             done = [t if t is None else splice(t, [(a, z, mark) for a, z in finder.spans(t)]) for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(done, pa.string()) if i == at else batch.column(i) for i in range(batch.num_columns)], schema=batch.schema)

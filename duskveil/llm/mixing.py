@@ -24,21 +24,27 @@ _EPS = 1e-9
 
 
 @lru_cache(maxsize=2)
-def _encoding(path: str):
+def _encoding(vocabulary: bytes):
+    """The tokenizer of a vocabulary file's bytes, made once for each worker."""
     import tiktoken
 
-    with open(path, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, vocabulary.splitlines())}
     return tiktoken.Encoding("vocabulary", pat_str=TOKENIZER_PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
 def token_counts(documents: DataFrame, id_column: str, source: Column, path: str = TOKENIZER_PATH) -> DataFrame:
-    """``id_column, source, n_tokens`` of every document, whole texts; a null text has 0 tokens."""
+    """``id_column, source, n_tokens`` of every document, whole texts; a null text has 0 tokens.
+
+    The vocabulary is read on the driver and travels with the plan (1 MB, whatever the documents).
+    """
     rows = documents.select(F.col(id_column), source.alias("source"), F.col("text"))
     kind = dict(rows.dtypes)[id_column]
 
+    with open(path, "rb") as f:
+        vocabulary = f.read()
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _encoding(path).encode_ordinary
+        encode = _encoding(vocabulary).encode_ordinary
         for batch in batches:
             n = [len(encode(t)) if t else 0 for t in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=[id_column, "source", "n_tokens"])

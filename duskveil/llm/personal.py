@@ -5,6 +5,10 @@ it) and its instances (what recurs of it: a name's parts, a mail domain, a numbe
 street). Seeds are instances known to be right. On the bipartite graph of contexts and instances
 Spark scores iteratively: a context is as good as its instances, an instance gains from every good
 context. Good contexts so find instances that no seed knew.
+
+Seeds come from the name list, from check digits and from labels only: a full name of the list, a mail
+address with such a name in it, a number with valid check digits, and numbers and addresses behind a
+word that says what they are. All other candidates stand or fall by the graph.
 """
 
 from __future__ import annotations
@@ -24,7 +28,13 @@ from .credentials import DICTIONARY_PATH
 from .spans import splice
 
 ROUNDS = 3
-SALTS = 8
+#: Parts that a hot context or instance is spread over in joins.
+SALTS = 16
+#: Least trust of a context and belief in an instance for a candidate of each kind; a seed needs less. A name is two instances.
+MAIL_TRUST, MAIL_BELIEF = 0.2, 0.3
+PHONE_TRUST, PHONE_FORM = 0.25, (0.5, 0.05)
+NUMBER_TRUST, NUMBER_BELIEF, NUMBER_SEED_TRUST = 0.3, 0.2, 0.1
+ADDRESS_TRUST, ADDRESS_TYPE = 0.6, 0.4
 
 _AT = r"(?:\s?[\[({<]\s?(?:at|@|arroba)\s?[\])}>]\s?|&#64;|%40|＠)"
 _DOT = r"(?:\.|\s?[\[({]\s?(?:dot|punkt|punto|point)\s?[\])}]\s?|\sdot\s)"
@@ -56,6 +66,8 @@ _PHONE_START = re.compile(r"[+(0-9](?<![\w.+/\-].)")
 _ID_START = re.compile(r"[A-Z0-9](?<![\w+/.\-].)(?=[A-Z]{0,2}[ \-]?\d)")
 _NAME_START = re.compile(rf"[{_UP}](?<![\w@.\-/].)[^\W\d_]+(?:['’\-][^\W\d_]+)*,? (?=[{_UP}a-z])")
 _STREET_END = re.compile(r"(?:straße|strasse|str\.|gasse|weg|platz|allee|ufer|ring|damm|steig|graben|chaussee|pfad|markt)\Z")
+#: What tells the type of a typed street: the ending or word that the patterns ask for, else its first word.
+_STREET_TYPE = re.compile(r"(?:straße|strasse|str|gasse|weg|platz|allee|ufer|ring|damm|steig|graben|chaussee|pfad|markt|street|avenue|lane|road|boulevard|drive|court|close|terrace|crescent|way|row|gardens|grove|walk|place|square|hill|mews|parkway|st|ave|rd|ln|blvd|dr|ct|pl|sq)(?=\W*\Z)|\A[^\W\d_]+|\A.")
 _PARTICLE = r"(?:van|von|vom|zu|zum|zur|de|del|della|di|da|do|dos|das|du|der|den|la|le|los|las|ten|ter|bin|ibn|al|el|af|av|mac|mc|y|e|st\.)"
 _PART = rf"[{_UP}][{_LOW}]+(?:['’\-][{_UP}]?[{_LOW}]+)*(?:[{_UP}][{_LOW}]+)?"
 _NAME = re.compile(rf"(?<![\w@.\-/]){_PART}(?: (?:[{_UP}]\.|{_PARTICLE}|{_PART}))+(?![\w@/])")
@@ -98,6 +110,11 @@ _LABEL = re.compile(
 )
 
 
+#: Labels of phone numbers and addresses; what follows one is a seed.
+_PHONE_LABEL = re.compile(r"(?i)(?:tel|phone|telephone|mobile|cell|cellphone|call|fax|hotline|telefon|telefonnummer|handy|mobil|móvil|teléfono|llamar|llama|portable|téléphone|appeler|appelez|rufnummer|number|nummer|número|numéro)\w{0,2}\.?[\s\"'=:(\[]{1,4}(?:is |ist |es |est |me at |on |at |unter |al |au )?\Z")
+_ADDRESS_LABEL = re.compile(r"(?i)(?:address|addr|adresse|anschrift|dirección|domicilio|domicile|wohnhaft|wohnt|wohne|lives? at|living at|moved to|vive en|vivo en|habite|street|straße|calle|rue|ship to|deliver to|home)[\s\"'=:,(\[]{1,4}(?:is |ist |es |est |in |in der |au |à la |en )?\Z")
+
+
 @lru_cache(maxsize=2)
 def ordinary_words(path: str) -> frozenset[str]:
     """Words that the public vocabulary knows better in lower case than capitalised."""
@@ -121,7 +138,7 @@ def _shape(value: str) -> str:
 
 
 class Candidates:
-    """Candidates of one text: ``(kind, start, end, seed, keys, context, variant)``.
+    """Candidates of one text: ``(kind, start, end, seed, keys, contexts, variant)``.
 
     ``seed`` is 1 for a known instance, -1 for a known non-case, 0 otherwise.
     """
@@ -130,8 +147,8 @@ class Candidates:
         self.given, self.family, self.allowed = given, family, allowed
         self.ordinary = words - given - family
 
-    def context(self, text: str, start: int, end: int) -> str:
-        """Two tokens before and one after within the line, numbers as 0; ^ and $ are its ends."""
+    def contexts(self, text: str, start: int, end: int) -> list[str]:
+        """The two tokens before within the line, with the one after and without; numbers as 0, ^ and $ are the line's ends."""
         a = max(text.rfind("\n", max(0, start - 48), start) + 1, start - 48, 0)
         at_start = a == 0 or text[a - 1] == "\n"
         left = _CONTEXT.findall(text[a:start])
@@ -141,7 +158,13 @@ class Candidates:
         right = _CONTEXT.findall(text[end : z if z >= 0 else end + 24])
         left = (["^"] if at_start and len(left) < 2 else []) + left[-2:]
         more = right[0] if right else "$"
-        return " ".join("0" if t.isdigit() else t.lower() for t in left) + " _ " + ("0" if more.isdigit() else more.lower())
+        before = " ".join("0" if t.isdigit() else t.lower() for t in left)
+        return [before + " _ " + ("0" if more.isdigit() else more.lower()), before + " _"]
+
+    def named(self, local: str) -> bool:
+        """Does the local part of a mail address hold a listed given and a listed family name?"""
+        parts = set(re.split(r"[\W\d_]+|dot|punkt|punto", local.lower()))
+        return not self.given.isdisjoint(parts) and not self.family.isdisjoint(parts)
 
     def of(self, text: str) -> list[tuple]:
         out: list[tuple] = []
@@ -152,7 +175,9 @@ class Candidates:
             return all(z <= x or a >= y for x, y in taken)
 
         def add(kind: str, a: int, z: int, seed: int, keys: list[str], variant: int = 0, claim: bool = True) -> None:
-            out.append((kind, a, z, -1 if text[a:z] in self.allowed else seed, keys, self.context(text, a, z), variant))
+            contexts = self.contexts(text, a, z)
+            # Words with no form of their own need the narrower context.
+            out.append((kind, a, z, -1 if text[a:z] in self.allowed else seed, keys, contexts[:1] if kind in ("name", "address") else contexts, variant))
             if claim:
                 taken.append((a, z))
 
@@ -169,7 +194,9 @@ class Candidates:
                         if clear(*m.span()):
                             if not generic:
                                 self.streets.append(m.span())
-                            add("address", *m.span(), int(not generic), ["street:" + re.sub(r"\d+", "", m.group(0)).lower().strip(" ,.")])
+                            name = re.sub(r"\d+", "", m.group(0)).lower().strip(" ,.")
+                            keys = ["street:" + name] if generic else ["street:" + name, "type:" + _STREET_TYPE.search(name).group(0)]
+                            add("address", *m.span(), int(not generic and _ADDRESS_LABEL.search(text, max(0, m.start() - 40), m.start()) is not None), keys)
         else:
             self._names(text, add, clear)
         return out
@@ -200,8 +227,7 @@ class Candidates:
             n = sum(c.isdigit() for c in m.group(0))
             if not 9 <= n <= 15 or not clear(a, z) or re.match(r"\d{4}-\d\d-\d\d", m.group(0)):
                 continue
-            apart = not m.group(0)[1:].isdigit()
-            add("phone", a, z, int(m.group(0)[0] == "+" and apart), ["form:" + re.sub(r"\s", " ", re.sub(r"\d", "0", m.group(0)))])
+            add("phone", a, z, int(_PHONE_LABEL.search(text, max(0, a - 40), a) is not None), ["form:" + re.sub(r"\s", " ", re.sub(r"\d", "0", m.group(0)))])
         reached = 0
         for start in _ID_START.finditer(text):
             if start.start() < reached or not (m := _ID.match(text, start.start())):
@@ -227,7 +253,7 @@ class Candidates:
                 repository = bool(re.match(r":[\w~./\-]*[A-Za-z_/]", text[z : z + 12]))
                 local, domain = text[a:z].rsplit("@", 1)
                 machine = bool(_MACHINE.search(local) or _MACHINE_DOMAIN.search(domain))
-                add("email", a, z, -1 if credentials or repository or machine else 1, ["domain:" + domain.lower()])
+                add("email", a, z, -1 if credentials or repository or machine else int(self.named(local)), ["domain:" + domain.lower()])
         lower = text.lower()
         if any(x in lower for x in ("[at", "(at", "{at", "<at", "[@", "(@", "&#64;", "%40", "＠", "arroba", "[ at", "( at")):
             for m in _MAIL_HIDDEN.finditer(text):
@@ -238,12 +264,11 @@ class Candidates:
                 if clear(*m.span()):
                     self._hidden_mail(m, add)
 
-    @staticmethod
-    def _hidden_mail(m: re.Match, add) -> None:
+    def _hidden_mail(self, m: re.Match, add) -> None:
         plain = re.sub(rf"(?i){_AT}| at | @ ", "@", m.group(0), count=1)
         local, _, domain = plain.rpartition("@")
         domain = re.sub(rf"(?i){_DOT}", ".", domain).replace(" ", "").lower()
-        add("email", *m.span(), -1 if _MACHINE.search(local) else 0, ["domain:" + domain])
+        add("email", *m.span(), -1 if _MACHINE.search(local) else int(self.named(local)), ["domain:" + domain])
 
     def _names(self, text: str, add, clear) -> None:
         reached = [0, 0, 0, 0]
@@ -287,60 +312,69 @@ class Candidates:
         add("name", a, z, int(known_given and known_family), ["given:" + given, "family:" + tail], 0, False)
 
 
-_ROW = "kind string, a int, z int, seed int, keys array<string>, context string, found_text string"
+_ROW = "kind string, a int, z int, seed int, keys array<string>, contexts array<string>, found_text string"
 
 
 def occurrences(messages: DataFrame, id_column: str, text_column: str, given: frozenset[str], family: frozenset[str], allowed: frozenset[str], path: str = DICTIONARY_PATH) -> DataFrame:
     """All candidates of all texts: ``id_column, text_key`` (hash of the text) and the columns of a candidate."""
     kind = dict(messages.dtypes)[id_column]
     rows = messages.select(id_column, F.xxhash64(text_column).alias("text_key"), text_column)
+    words = ordinary_words(path)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = Candidates(given, family, allowed, ordinary_words(path))
+        finder = Candidates(given, family, allowed, words)
         for batch in batches:
             at, found = [], []
             for i, text in enumerate(batch.column(2).to_pylist()):
                 if text:
-                    for kind, a, z, seed, keys, context, _ in finder.of(text):
+                    for kind, a, z, seed, keys, contexts, _ in finder.of(text):
                         at.append(i)
-                        found.append((kind, a, z, seed, keys, context, text[a:z]))
+                        found.append((kind, a, z, seed, keys, contexts, text[a:z]))
             columns = list(zip(*found, strict=True)) if found else [[]] * 7
             take = pa.array(np.array(at, np.int64))
-            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.string(), pa.string())
+            kinds = (pa.string(), pa.int32(), pa.int32(), pa.int32(), pa.list_(pa.string()), pa.list_(pa.string()), pa.string())
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0).take(take), batch.column(1).take(take), *(pa.array(list(c), t) for c, t in zip(columns, kinds, strict=True))],
-                names=[id_column, "text_key", "kind", "a", "z", "seed", "keys", "context", "found_text"],
+                names=[id_column, "text_key", "kind", "a", "z", "seed", "keys", "contexts", "found_text"],
             )
 
     return rows.mapInArrow(work, f"{id_column} {kind}, text_key bigint, {_ROW}")
 
 
+def _spread(scores: DataFrame) -> DataFrame:
+    """Every row once for each salt."""
+    return scores.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
+
+
+def _salt(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS))
+
+
 def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame]:
     """Scores of contexts ``kind, context, trust`` and of instances ``kind, key, belief``.
 
     Each round a context's trust becomes the mean belief of its distinct instances (shrunk by the
     weight of two unknown ones), then an instance's belief the noisy-or of the contexts it stands in,
-    not less than its seed. Edges are distinct (kind, context, key); joins on a context are salted,
-    so a context that a third of all candidates share is spread, and all sums combine map-side.
+    not less than its seed. Edges are distinct (kind, context, key); joins are salted on both sides, so
+    a context or an instance that a third of all candidates share is spread, and all sums combine map-side.
+    Without rounds no context is trusted and only seeds are believed.
     """
     edges = Stage(
-        found.select("kind", "context", F.explode("keys").alias("key"), "seed")
+        found.select("kind", F.explode("contexts").alias("context"), "keys", "seed").select("kind", "context", F.explode("keys").alias("key"), "seed")
         .groupBy("kind", "context", "key")
-        .agg(F.avg(F.greatest("seed", F.lit(0))).alias("seed"), F.max(F.when(F.col("seed") < 0, 1).otherwise(0)).alias("barred"))
-        .withColumn("salt", F.pmod(F.xxhash64("key"), F.lit(SALTS))),
+        .agg(F.avg(F.greatest("seed", F.lit(0))).alias("seed"), F.max(F.when(F.col("seed") < 0, 1).otherwise(0)).alias("barred")),
         "personal-edges",
     ).df
     seeds = edges.groupBy("kind", "key").agg(F.max("seed").alias("seed"), F.max("barred").alias("barred"))
     belief = checkpointed(seeds.select("kind", "key", F.when(F.col("barred") == 1, 0.0).otherwise(F.col("seed") * 0.95).alias("belief"), F.col("seed").alias("known"), "barred"))
-    trust = None
+    trust = edges.sparkSession.createDataFrame([], "kind string, context string, trust double")
     for _ in range(rounds):
         trust = checkpointed(
-            edges.join(belief.select("kind", "key", "belief"), ["kind", "key"])
+            edges.withColumn("salt", _salt("context")).join(_spread(belief.select("kind", "key", "belief")), ["kind", "key", "salt"])
             .groupBy("kind", "context")
             .agg((F.sum(F.greatest("belief", "seed")) / (F.count(F.lit(1)) + 2.0)).alias("trust"))
         )
-        spread = trust.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-        gained = edges.join(spread, ["kind", "context", "salt"]).groupBy("kind", "key").agg((1 - F.exp(F.sum(F.log(1 - 0.8 * F.least("trust", F.lit(0.98)))))).alias("gained"))
+        gained = edges.withColumn("salt", _salt("key")).join(_spread(trust), ["kind", "context", "salt"]).groupBy("kind", "key").agg((1 - F.exp(F.sum(F.log(1 - 0.8 * F.least("trust", F.lit(0.98)))))).alias("gained"))
         belief = checkpointed(
             belief.join(gained, ["kind", "key"], "left").select("kind", "key", F.greatest(F.col("known") * 0.95, F.coalesce("gained", F.lit(0.0))).alias("belief"), "known", "barred")
         )
@@ -350,24 +384,31 @@ def bootstrap(found: DataFrame, rounds: int = ROUNDS) -> tuple[DataFrame, DataFr
 def extract(found: DataFrame, id_column: str, rounds: int = ROUNDS) -> DataFrame:
     """Candidates that the bootstrapped scores confirm: ``id_column, text_key, kind, a, z, found_text``.
 
-    Of overlapping variants of one name the best scored, then the longest, is kept.
+    A candidate's trust is that of its better context. All its contexts and instances are looked up in one
+    salted join. Of overlapping variants of one name the best scored, then the longest, is kept.
     """
     trust, belief = bootstrap(found, rounds)
-    spread = trust.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))))
-    key = [F.get("keys", F.lit(0)).alias("key_1"), F.coalesce(F.get("keys", F.lit(1)), F.get("keys", F.lit(0))).alias("key_2")]
-    rows = found.where("seed >= 0").select("*", *key).withColumn("salt", F.pmod(F.xxhash64("found_text"), F.lit(SALTS)))
+    scores = _spread(trust.select("kind", F.concat(F.lit("c:"), "context").alias("name"), F.col("trust").alias("score")).unionByName(belief.select("kind", F.concat(F.lit("k:"), "key").alias("name"), F.col("belief").alias("score"))))
+    first, last = F.get("keys", F.lit(0)), F.element_at("keys", -1)
+    looks = F.concat(
+        F.transform("contexts", lambda c: F.struct(F.lit(0).alias("slot"), F.concat(F.lit("c:"), c).alias("name"))),
+        F.array(F.struct(F.lit(1).alias("slot"), F.concat(F.lit("k:"), first).alias("name")), F.struct(F.lit(2).alias("slot"), F.concat(F.lit("k:"), last).alias("name"))),
+    )
+    row = [id_column, "text_key", "kind", "a", "z", "seed", "typed", "found_text"]
+    rows = found.where("seed >= 0").withColumn("typed", F.size("keys") > 1).select(*row, F.explode(looks).alias("l")).select(*row, "l.slot", "l.name")
+    best = lambda slot, name: F.coalesce(F.max(F.when(F.col("slot") == slot, F.col("score"))), F.lit(0.0)).alias(name)
     scored = (
-        rows.join(spread, ["kind", "context", "salt"], "left")
-        .join(belief.select("kind", F.col("key").alias("key_1"), F.col("belief").alias("b1")), ["kind", "key_1"], "left")
-        .join(belief.select("kind", F.col("key").alias("key_2"), F.col("belief").alias("b2")), ["kind", "key_2"], "left")
-        .fillna(0.0, ["trust", "b1", "b2"])
+        rows.withColumn("salt", _salt(id_column, "text_key", "a"))
+        .join(scores, ["kind", "name", "salt"], "left")
+        .groupBy(*row)
+        .agg(best(0, "trust"), best(1, "b1"), best(2, "b2"))
     )
     both, one = F.least("b1", "b2"), F.greatest("b1", "b2")
     name = (F.col("seed") == 1) | (both >= 0.6) | ((F.col("trust") >= 0.4) & (one >= 0.6) & (both >= 0.25)) | ((F.col("trust") >= 0.6) & (both >= 0.4))
-    mail = (F.col("seed") == 1) | (one >= 0.4) | (F.col("trust") >= 0.3)
-    phone = (F.col("trust") >= 0.3) | (F.col("seed") == 1) & (F.col("trust") >= 0.05)
-    number = (F.col("trust") >= 0.3) & (one >= 0.2) | (F.col("seed") == 1) & (F.col("trust") >= 0.1)
-    address = (F.col("seed") == 1) & (F.col("trust") >= 0.1) | (F.col("trust") >= 0.6)
+    mail = (F.col("seed") == 1) | (one >= MAIL_BELIEF) & (F.col("trust") > 0) | (F.col("trust") >= MAIL_TRUST)
+    phone = (F.col("seed") == 1) | (F.col("trust") >= PHONE_TRUST) | (one >= PHONE_FORM[0]) & (F.col("trust") >= PHONE_FORM[1])
+    number = (F.col("trust") >= NUMBER_TRUST) & (one >= NUMBER_BELIEF) | (F.col("seed") == 1) & (F.col("trust") >= NUMBER_SEED_TRUST)
+    address = (F.col("seed") == 1) | (F.col("trust") >= ADDRESS_TRUST) | F.col("typed") & (F.col("b2") >= ADDRESS_TYPE) & (F.col("trust") > 0)
     good = F.when(F.col("kind") == "name", name).when(F.col("kind") == "email", mail).when(F.col("kind") == "phone", phone).when(F.col("kind") == "id_number", number).otherwise(address)
     kept = scored.where(good).withColumn("score", F.col("trust") + both + F.col("seed"))
     # Spans of one text, few and bounded by its length: sorted by quality, each that overlaps none kept so far stays.
@@ -381,7 +422,7 @@ def extract(found: DataFrame, id_column: str, rounds: int = ROUNDS) -> DataFrame
     return spans.select(id_column, "text_key", F.explode(chosen).alias("s")).select(id_column, "text_key", "s.kind", "s.a", "s.z", "s.found_text")
 
 
-def find_personal(messages: DataFrame, id_column: str, text_column: str, names: DataFrame, allowed: tuple[str, ...] = (), path: str = DICTIONARY_PATH) -> DataFrame:
+def find_personal(messages: DataFrame, id_column: str, text_column: str, names: DataFrame, allowed: tuple[str, ...] = (), path: str = DICTIONARY_PATH, rounds: int = ROUNDS) -> DataFrame:
     """Personal information of every text: ``id_column, text_key, kind, a, z, found_text``.
 
     ``names``: the seed names ``person_name, kind`` (``given`` or ``family``), a fixed list that is
@@ -393,7 +434,7 @@ def find_personal(messages: DataFrame, id_column: str, text_column: str, names:
     given = frozenset(r["n"] for r in rows if r["kind"] == "given")
     family = frozenset(r["n"] for r in rows if r["kind"] == "family")
     found = Stage(occurrences(messages, id_column, text_column, given, family, frozenset(allowed), path), "personal-candidates").df
-    return extract(found, id_column)
+    return extract(found, id_column, rounds)
 
 
 PLACEHOLDERS = {"email": "[EMAIL]", "phone": "[PHONE]", "id_number": "[ID_NUMBER]", "address": "[ADDRESS]", "name": "[NAME]"}

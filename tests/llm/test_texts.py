@@ -304,6 +304,7 @@ def test_personal_edge_cases(spark):
     rows = [(i, t) for i, t in enumerate(PERSONAL)]
     # Contexts known from seeds carry over to names that no list holds.
     rows += [(100 + i, f"Dear {rng.choice(given)} {rng.choice(family)},\nAuthor: {rng.choice(given)} {rng.choice(family)}") for i in range(40)]
+    rows += [(400 + i, f"owner: {g.lower()}-{f.lower()}@orvel.example") for i, (g, f) in enumerate(zip(given, family, strict=True))]
     rows += [(200, "Dear Livia Oskvik,\nx"), (201, "Author: Livia Varnvik"), (300, None), (301, ""), (302, "a b " * (LONG // 4)), (None, "Author: Emil Oskvik"), (100, rows[12][1])]
     df = spark.createDataFrame(rows, "message_id bigint, content string").withColumn("text_key", F.lit("clash")).withColumn("kind", F.lit("clash"))
     names = spark.createDataFrame([(n, "given") for n in given] + [(n, "family") for n in family] + [(None, "given")], "person_name string, kind string")
@@ -319,6 +320,17 @@ def test_personal_edge_cases(spark):
     assert personal.find_personal(df.where("message_id < 5"), "message_id", "content", names.limit(0)).count() >= 0
 
 
+def test_the_graph_decides_rows_of_every_kind(spark):
+    """Without rounds of scoring each kind loses rows: they are found through contexts, not by their shape or as seeds."""
+    messages, names = (spark.read.parquet(f"{MEDIUM}/{n}.parquet") for n in ("messages", "person_names"))
+    with_graph, without = (
+        {(r["message_id"], r["kind"], r["found_text"]) for r in personal.find_personal(messages, "message_id", "content", names, rounds=n).collect()} for n in (personal.ROUNDS, 0)
+    )
+    assert without < with_graph
+    for kind in personal.PLACEHOLDERS:
+        assert any(k == kind for _, k, _ in with_graph - without), kind
+
+
 def test_names_anywhere_in_a_capitalised_run(spark):
     given, family = ["Marta", "Kofi", "Emil", "Noemi", "Livia"], ["Varnvik", "Fennander", "Oskvik", "Brelane", "Stavstrom"]
     people = [f"{g} {f}" for g, f in zip(given, family, strict=True)]
