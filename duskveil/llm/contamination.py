@@ -2,10 +2,12 @@
 
 Method. Items and documents are cut into overlapping passages of words; a passage is its TF-IDF
 vector over word pairs that occur in the items. A distributed randomised SVD gives a latent space;
-passages of documents are compared with passages of items by cosine there. A passage that shares as
-many word pairs with an item as every leak does is a candidate too, whatever its cosine. Candidates go
-through a longest-common-subsequence filter and then the exact check for at least ``min_words``
-consecutive words of the item of which at most one in ten is replaced.
+passages of documents are compared with passages of items by cosine there, and nothing else makes a
+candidate. Candidates go through a longest-common-subsequence filter and then the exact check for at
+least ``min_words`` consecutive words of the item of which at most one in ten is replaced.
+
+Every text is cut into words once; what the later steps read are the codes of the documents that can
+hold a leak at all.
 """
 
 from __future__ import annotations
@@ -17,20 +19,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import Stage
 from .words import words
 
 PASSAGE, DOC_STEP, ITEM_STEP = 28, 4, 4
 #: Least cosine of a candidate. A leak of 28 words shares at least 24 words in a row with the nearest
-#: passages; with two of them replaced 19 of 27 word pairs still agree, a cosine of about 0.7.
-LEAST_COSINE = 0.6
+#: passages; with two of them replaced 19 of 27 word pairs still agree, a cosine of about 0.7. In the latent
+#: space it strays by about one over the root of RANK, so three times that is left.
+LEAST_COSINE = 0.5
 #: Item word pairs that the best passage of a leak of 28 words or more keeps at least: the worst is 40
 #: words with four replaced, a passage inside of them that has all four loses eight of its 27 pairs.
 LEAST_PAIRS = 19
 #: Rows of a batch that are made into arrays at a time: bounds a worker's memory.
 ROWS_AT_ONCE = 512
 RANK, OVERSAMPLE = 192, 16
-#: The latent space is fitted on the items and the documents of this many hash classes in 1024,
-#: at most so many documents; every document is searched.
+#: The latent space is fitted on the items and at most so many documents, chosen by the hash of their id; every document is searched.
 FIT_DOCUMENTS = 4000
 ITEM_BLOCK = 2000
 
@@ -120,20 +123,6 @@ def _project(row: np.ndarray, column: np.ndarray, value: np.ndarray, n: int, bas
     return out
 
 
-def _sharing(row: np.ndarray, column: np.ndarray, n: int, owners: np.ndarray, begins: np.ndarray, n_items: int, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Passages and items that have ``least`` pairs in common; the items of feature f are owners[begins[f] : begins[f + 1]]."""
-    passages, which = [], []
-    edges = np.searchsorted(row, np.arange(0, n + 512, 512))
-    for k, (lo, hi) in enumerate(zip(edges[:-1], edges[1:], strict=True)):
-        many = np.diff(begins)[column[lo:hi]]
-        at = np.repeat(begins[column[lo:hi]], many) + np.arange(many.sum()) - np.repeat(np.cumsum(many) - many, many)
-        shared = np.bincount(np.repeat(row[lo:hi] - 512 * k, many) * n_items + owners[at], minlength=1)
-        some = np.flatnonzero(shared >= least)
-        passages.append(some // n_items + 512 * k)
-        which.append(some % n_items)
-    return np.concatenate([*passages, np.zeros(0, np.int64)]), np.concatenate([*which, np.zeros(0, np.int64)])
-
-
 def _slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for a in range(0, batch.num_rows, ROWS_AT_ONCE):
@@ -188,24 +177,45 @@ def holds(doc: np.ndarray, item: np.ndarray, min_words: int) -> bool:
     return False
 
 
-def _feature_counts(documents: DataFrame, items: Items) -> tuple[np.ndarray, int]:
-    """In how many documents each feature occurs, over all documents; and their number."""
+def _coded(documents: DataFrame, id_column: str, items: Items, least: int) -> Stage:
+    """The one pass over the texts: ``__id, codes, feature, n``.
+
+    Rows with ``codes`` are documents with a passage that has ``least`` pairs of the items, as every document with a leak
+    has; the others count in how many documents of a task each feature occurs, over all documents, and, as feature -1, the documents.
+    """
+    kind = dict(documents.dtypes)[id_column]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, n = np.zeros(len(items.features), np.int64), 0
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(max(1, len(items.features)), np.int64), 0
+        id_type = None
         for batch in _slices(batches):
-            coded, starts = items.encode(batch.column(0).to_pylist())
+            id_type = batch.schema.field(0).type
+            coded, starts = items.encode(batch.column(1).to_pylist())
             feature = items.feature_of(coded)
             at = np.flatnonzero(feature >= 0)
             doc = np.searchsorted(starts, at, side="right") - 1
             inside = at + 1 < starts[doc + 1]
-            both = np.unique(doc[inside] * max(1, len(total)) + feature[at[inside]])
-            total += np.bincount(both % max(1, len(total)), minlength=len(total))[: len(total)]
+            both = np.unique(doc[inside] * len(total) + feature[at[inside]])
+            total += np.bincount(both % len(total), minlength=len(total))
             n += batch.num_rows
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1)), pa.array(np.append(total[some], n))], names=["feature", "n"])
+            text, first, end = _passages(starts, DOC_STEP)
+            hits = np.concatenate([[0], np.cumsum(feature >= 0)])
+            some = np.unique(text[hits[np.maximum(end - 1, first)] - hits[first] >= least])
+            codes = [coded[starts[i] : starts[i + 1]].astype(np.int32).tobytes() for i in some.tolist()]
+            none = pa.nulls(len(codes), pa.int64())
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(some)), pa.array(codes, pa.binary()), none, none], names=["__id", "codes", "feature", "n"])
+        if n:
+            held = np.flatnonzero(total)
+            yield pa.RecordBatch.from_arrays(
+                [pa.nulls(len(held) + 1, id_type), pa.nulls(len(held) + 1, pa.binary()), pa.array(np.append(held, -1)), pa.array(np.append(total[held], n))], names=["__id", "codes", "feature", "n"]
+            )
+
+    return Stage(documents.select(id_column, "text").mapInArrow(work, f"__id {kind}, codes binary, feature bigint, n bigint"), "leak-codes")
+
 
-    rows = documents.select("text").mapInArrow(count, "feature bigint, n bigint").groupBy("feature").agg(F.sum("n").alias("n")).collect()
+def _feature_counts(coded: DataFrame, items: Items) -> tuple[np.ndarray, int]:
+    """In how many documents each feature occurs, and the number of documents."""
+    rows = coded.where("feature is not null").groupBy("feature").agg(F.sum("n").alias("n")).collect()
     counts, n = np.zeros(len(items.features), np.int64), 0
     for r in rows:
         if r["feature"] < 0:
@@ -215,6 +225,13 @@ def _feature_counts(documents: DataFrame, items: Items) -> tuple[np.ndarray, int
     return counts, n
 
 
+def _codes(batch: pa.RecordBatch, column: int) -> tuple[np.ndarray, np.ndarray]:
+    """Word ids of all documents one after the other, and where each starts (one more at the end)."""
+    parts = [np.frombuffer(c, np.int32) for c in batch.column(column).to_pylist()]
+    starts = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int64)
+    return np.concatenate([np.zeros(0, np.int32), *parts]).astype(np.int64), starts
+
+
 def _latent_basis(sample: DataFrame, items: Items, weight: np.ndarray, most: float, least: int) -> np.ndarray:
     """Randomised SVD of the TF-IDF passages: a basis (features x rank) of the latent space.
 
@@ -236,7 +253,7 @@ def _latent_basis(sample: DataFrame, items: Items, weight: np.ndarray, most: flo
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros_like(start)
         for batch in _slices(batches):
-            coded, starts = items.encode(batch.column(0).to_pylist())
+            coded, starts = _codes(batch, 0)
             _, first, end = _passages(starts, DOC_STEP)
             total += part(*_vectors(items.feature_of(coded), first, end, weight, most, least))
         numbers = range(0, len(total), block)
@@ -248,7 +265,7 @@ def _latent_basis(sample: DataFrame, items: Items, weight: np.ndarray, most: flo
         return pa.table({"block": pa.array([table.column("block")[0].as_py()], pa.int32()), "part": pa.array([total.tobytes()], pa.binary())})
 
     kind = "block int, part binary"
-    rows = sample.select("text").mapInArrow(multiply, kind).groupBy("block").applyInArrow(add, kind).collect()
+    rows = sample.select("codes").mapInArrow(multiply, kind).groupBy("block").applyInArrow(add, kind).collect()
     product = np.zeros_like(start)
     for r in rows:
         some = np.frombuffer(r["part"], np.float32).reshape(-1, k)
@@ -270,20 +287,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
 
 
-def _search(documents: DataFrame, id_column: str, items: Items, weight: np.ndarray, most: float, basis: np.ndarray, min_words: int, exact: bool) -> DataFrame:
+def _search(documents: DataFrame, id_column: str, kind: str, items: Items, weight: np.ndarray, most: float, basis: np.ndarray, min_words: int, exact: bool) -> DataFrame:
     coded, starts, _ = _item_words(items)
     text, first, end = _passages(starts, ITEM_STEP)
     keep, row, column, value, _ = _vectors(items.feature_of(coded), first, end, weight, most, 1)
     latent, item_of = _unit(_project(row, column, value.astype(np.float32), len(keep), basis)), text[keep]
     ids, least = np.array(items.ids, object), least_pairs(min_words)
-    held = [np.unique(items.feature_of(c)) for c in items.coded]
-    feature = np.concatenate(held)
-    owner = np.repeat(np.arange(len(held)), [len(h) for h in held])[np.argsort(feature, kind="stable")]
-    owners, begins = owner[np.count_nonzero(feature < 0) :], np.searchsorted(np.sort(feature[feature >= 0]), np.arange(len(items.features) + 1))
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in _slices(batches):
-            coded, starts = items.encode(batch.column(1).to_pylist())
+            coded, starts = _codes(batch, 1)
             text, first, end = _passages(starts, DOC_STEP)
             keep, row, column, value, _ = _vectors(items.feature_of(coded), first, end, weight, most, least)
             made = _unit(_project(row, column, value.astype(np.float32), len(keep), basis))
@@ -292,9 +305,6 @@ def _search(documents: DataFrame, id_column: str, items: Items, weight: np.ndarr
                 near, which = np.nonzero(made[a : a + 1024] @ latent.T >= LEAST_COSINE)
                 for p, i in zip(keep[near + a].tolist(), item_of[which].tolist(), strict=True):
                     found.setdefault((int(text[p]), i), []).append(p)
-            near, which = _sharing(row, column, len(keep), owners, begins, len(held), least)
-            for p, i in zip(keep[near].tolist(), which.tolist(), strict=True):
-                found.setdefault((int(text[p]), i), []).append(p)
             out_doc, out_item = [], []
             for (doc, i), passages in found.items():
                 item = items.coded[i]
@@ -312,8 +322,7 @@ def _search(documents: DataFrame, id_column: str, items: Items, weight: np.ndarr
                 [batch.column(0).take(pa.array(out_doc, pa.int64())), pa.array([ids[i] for i in out_item], pa.int64())], names=[id_column, "item_id"]
             )
 
-    kind = dict(documents.dtypes)[id_column]
-    return documents.select(id_column, "text").mapInArrow(search, f"{id_column} {kind}, item_id bigint")
+    return documents.select("__id", "codes").mapInArrow(search, f"{id_column} {kind}, item_id bigint")
 
 
 def leaked_items(documents: DataFrame, items: DataFrame, id_column: str = "doc_id", min_words: int = 28, exact: bool = True) -> DataFrame:
@@ -334,12 +343,14 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_column: str = "doc_i
         block = Items([(r["item_id"], r["text"]) for r in some])
         if not len(block.features):
             continue
-        counts, n_docs = _feature_counts(documents, block)
+        coded = _coded(documents, id_column, block, least_pairs(min_words)).df
+        counts, n_docs = _feature_counts(coded, block)
         weight, most = bounded_weights(counts, n_docs), 2.0
-        classes = max(1, min(1024, (1024 * FIT_DOCUMENTS) // max(1, n_docs)))
-        sample = documents.where(F.pmod(F.xxhash64(id_column), F.lit(1024)) < classes)
-        basis = _latent_basis(sample, block, weight, most, least_pairs(min_words))
-        found = _search(documents, id_column, block, weight, most, basis, min_words, exact)
+        texts = coded.where("codes is not null")
+        n_texts = max(1, texts.count())
+        share = F.pmod(F.xxhash64("__id"), F.lit(1 << 40)) < F.lit(int(min(1.0, 0.9 * FIT_DOCUMENTS / n_texts) * (1 << 40)))
+        basis = _latent_basis(texts.where(share).limit(FIT_DOCUMENTS), block, weight, most, least_pairs(min_words))
+        found = _search(texts, id_column, dict(documents.dtypes)[id_column], block, weight, most, basis, min_words, exact)
         out = found if out is None else out.unionByName(found)
     if out is None:
         return spark.createDataFrame([], f"{id_column} {dict(documents.dtypes)[id_column]}, item_id bigint")

@@ -129,6 +129,38 @@ def test_altered_leak_in_a_third_of_the_documents(spark):
     assert got == {(k, 0) for k in range(0, 6000, 3)}
 
 
+def test_latent_recall_does_not_depend_on_size_or_spread(spark):
+    """Leaks of 28 words with 0 to 2 replaced, for up to 10^10 documents and item pairs in up to a third of them: cosines alone find them."""
+    import numpy as np
+
+    from duskveil.llm import contamination as c
+
+    rng = random.Random(8)
+    block = Items([(r["item_id"], r["text"]) for r in spark.read.parquet(f"{MEDIUM}/eval_items.parquet").collect()])
+    docs, truth = [], []
+    for k in range(400):
+        i = rng.choice([i for i, ws in enumerate(block.coded) if len(ws) >= 28])
+        back = {n: w for w, n in block.vocabulary.items()}
+        a = rng.randrange(len(block.coded[i]) - 27)
+        part = [back[n] for n in block.coded[i][a : a + 28].tolist()]
+        for at in rng.sample(range(28), k % 3):
+            part[at] = f"u{rng.randrange(10**9)}"
+        around = [f"u{rng.randrange(10**9)}" for _ in range(rng.randrange(80))]
+        cut = rng.randrange(len(around) + 1)
+        docs.append((k, " ".join(around[:cut] + part + around[cut:])))
+        truth.append((k, block.ids[i]))
+    coded = c._coded(spark.createDataFrame(docs, "doc_id bigint, text string"), "doc_id", block, c.least_pairs(28)).df.where("codes is not null")
+    fit = c._coded(spark.read.parquet(f"{MEDIUM}/documents.parquet"), "doc_id", block, c.least_pairs(28)).df.where("codes is not null")
+    for n, share in ((10**5, 0.0), (10**5, 0.3), (10**10, 0.01), (10**10, 0.3)):
+        counts = np.where(np.arange(len(block.features)) % 2 == 0, int(share * n), 1)
+        weight = c.bounded_weights(counts, n)
+        basis = c._latent_basis(fit, block, weight, 2.0, c.least_pairs(28))
+        got = {tuple(r) for r in c._search(coded, "doc_id", "bigint", block, weight, 2.0, basis, 28, False).collect()}
+        assert sum(t in got for t in truth) >= 0.99 * len(truth), (n, share)
+        # Without the latent space there are no candidates.
+        assert c._search(coded, "doc_id", "bigint", block, weight, 2.0, np.zeros_like(basis), 28, True).count() == 0
+
+
 @pytest.fixture(scope="module")
 def labelled(spark):
     return [(r["text"], r["label"]) for r in spark.read.parquet(f"{MEDIUM}/abuse_labels.parquet").where("text is not null").collect()]
