@@ -33,7 +33,8 @@ LEAST_PAIRS = 19
 #: Rows of a batch that are made into arrays at a time: bounds a worker's memory.
 ROWS_AT_ONCE = 512
 RANK, OVERSAMPLE = 192, 16
-#: The latent space is fitted on the items and at most so many documents, chosen by the hash of their id; every document is searched.
+#: The latent space is fitted on the items and at most so many documents, chosen by the hash of their id: nine tenths of it are
+#: expected, so that it is exceeded with a chance below one in a million. Every document is searched.
 FIT_DOCUMENTS = 4000
 ITEM_BLOCK = 2000
 
@@ -349,7 +350,7 @@ def leaked_items(documents: DataFrame, items: DataFrame, id_column: str = "doc_i
         texts = coded.where("codes is not null")
         n_texts = max(1, texts.count())
         share = F.pmod(F.xxhash64("__id"), F.lit(1 << 40)) < F.lit(int(min(1.0, 0.9 * FIT_DOCUMENTS / n_texts) * (1 << 40)))
-        basis = _latent_basis(texts.where(share).limit(FIT_DOCUMENTS), block, weight, most, least_pairs(min_words))
+        basis = _latent_basis(texts.where(share), block, weight, most, least_pairs(min_words))
         found = _search(texts, id_column, dict(documents.dtypes)[id_column], block, weight, most, basis, min_words, exact)
         out = found if out is None else out.unionByName(found)
     if out is None:
