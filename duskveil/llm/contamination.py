@@ -248,7 +248,12 @@ def _latent_basis(sample: DataFrame, items: Items, weight: np.ndarray, most: flo
         value = (value / length[row]).astype(np.float32)
         made = _project(row, column, value, len(keep), start)
         out = np.zeros_like(start)
-        np.add.at(out, column, made[row] * value[:, None])
+        order = np.argsort(column, kind="stable")
+        # A part at a time bounds the memory; equal features of a part are summed before they are added.
+        for a in range(0, len(order), 1 << 14):
+            some = order[a : a + (1 << 14)]
+            begins = np.flatnonzero(np.diff(column[some], prepend=-1))
+            out[column[some][begins]] += np.add.reduceat(made[row[some]] * value[some, None], begins, axis=0)
         return out
 
     def multiply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
