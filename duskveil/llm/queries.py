@@ -39,9 +39,9 @@ def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _event_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     table = read_table(spark, sf_dir, "audit_events")
     cleaned = F.filter(F.transform(F.coalesce(F.col("flags"), F.array().cast("array<string>")), clean), lambda x: x.isNotNull())
-    events = latest_per_key(table, "id", "received_at", {"flags": cleaned, "action_taken": clean(F.col("action_taken"))})
-    # Rows without id are events of their own, told apart by what they hold.
-    orphan = F.concat(F.lit("\0"), F.to_json(F.struct("flags", "action_taken")))
+    events = latest_per_key(table, "id", "received_at", {"flags": cleaned, "action_taken": clean(F.col("action_taken")), "at": F.when(F.col("id").isNull(), F.col("received_at"))})
+    # Rows without id are events of their own, told apart by what they hold and when they came.
+    orphan = F.concat(F.lit("\0"), F.to_json(F.struct("flags", "action_taken", "at")))
     n = table.select("id").where("id is not null").distinct().count() + events.where("id is null").count()
     # Repeats inside one event are folded before the shuffle.
     flags = F.transform(
