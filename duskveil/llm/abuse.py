@@ -101,25 +101,25 @@ class Channel:
         self.prefixes = {w[:i] for w in self.known for i in range(len(w) + 1)}
         self.folded, self.folded_worth = set(map(fold, self.known)), set(map(fold, WORTH_HIDING))
         self.fragments = {w[i:j] for w in self.folded_worth for i in range(len(w)) for j in range(i + 1, len(w) + 1)}
-        count: dict[str, Counter] = defaultdict(Counter)
-        for word in self.known:
-            padded = "^" * (self.ORDER - 1) + word + "$"
-            for i in range(self.ORDER - 1, len(padded)):
-                for n in range(self.ORDER):
-                    count[padded[i - n : i]][padded[i]] += 1
-        #: Witten-Bell: what a context has not seen is left to the shorter context.
-        self.count, self.total = dict(count), {c: sum(k.values()) for c, k in count.items()}
+        padded = ["^" * (self.ORDER - 1) + w + "$" for w in self.known]
+        #: Counts of letters with the context before them, of contexts, and of different letters behind a context.
+        self.grams: Counter = Counter()
+        for n in range(self.ORDER):
+            self.grams.update(w[i - n : i + 1] for w in padded for i in range(self.ORDER - 1, len(w)))
+        self.total: Counter = Counter()
+        self.kinds: Counter = Counter()
+        for gram, times in self.grams.items():
+            self.total[gram[:-1]] += times
+            self.kinds[gram[:-1]] += 1
         self.memo: dict[tuple[str, str], float] = {}
 
     def probability(self, context: str, c: str) -> float:
+        """Witten-Bell: what a context has not seen is left to the shorter context."""
         if not context:
-            return (self.count[""][c] + 0.5) / (self.total[""] + 0.5 * (len(LETTERS) + 1)) if "" in self.count else 1 / (len(LETTERS) + 1)
-        seen = self.count.get(context)
+            return (self.grams[c] + 0.5) / (self.total[""] + 0.5 * (len(LETTERS) + 1))
         lower = self.probability(context[1:], c)
-        if not seen:
-            return lower
-        kinds = len(seen)
-        return (seen[c] + kinds * lower) / (self.total[context] + kinds)
+        kinds = self.kinds.get(context)
+        return (self.grams.get(context + c, 0) + kinds * lower) / (self.total[context] + kinds) if kinds else lower
 
     def step(self, context: str, c: str) -> float:
         key = (context, c)
